@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the reliable checkpoint folder and go on from there.
+    """Write df as a table to the shared folder for checkpoints and go on from there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    that is unset (a local test) a temporary folder is chosen.
+    The folder is the one the cluster names in spark.checkpoint.dir; only where that
+    is unset (a local test) a temporary folder is chosen. A written table outlives
+    lost executors, is compressed, and is read by column; unlike a checkpoint it also
+    leaves the plan's constraints behind, which iterations would pile up. It goes
+    when the driver's JVM ends.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def n_words(text: Column) -> Column:

@@ -229,7 +229,8 @@ def _pack(items: DataFrame, n: int, turn: int, *, capacity: int, shard_items: in
             yield batch.assign(population=out)
 
     for epoch in range(epochs):
-        state = cut(state.mapInPandas(grow, _ISLAND))
+        # Each island is long work on a small row: rows, not bytes, are dealt out.
+        state = cut(state.repartition(min(shards * islands, 2000), "shard", "island").mapInPandas(grow, _ISLAND))
         if epoch + 1 < epochs:
             elite = state.select("shard", ((F.col("island") + 1) % islands).cast("int").alias("island"), F.slice("population", 1, 1).alias("elite"))
             state = state.join(elite, ["shard", "island"]).select("shard", "island", "handle", "lengths", F.concat("elite", F.slice("population", 1, max(1, size - 1))).alias("population"))
