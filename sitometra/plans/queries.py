@@ -1,10 +1,575 @@
-"""The queries, by name, and the same as SQL."""
+"""The queries, by name, and the same as SQL.
+
+The driver's tables stand in for the real ones: order lines for priced rows, orders
+for blocks (whose text is made from their numbers), documents and labels for
+documents and metadata.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import HARVEST_LEXICON, HarvestOptions, Lexicon, LinkOptions
+from ..functions import canon, numbers, text
+from ..operators import analyze, harvest, link, sample, stats
+from ..sources import tables, xml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_CUR = {"A": "drachma", "N": "obol", "R": "talent"}
+_UNITS = {"O": "artaba", "F": "choenix"}
+_NAME = lambda c, m: F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col(c))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as priced rows."""
+    return _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_extendedprice").alias("PriceNum"), F.col("l_quantity").alias("QtyNum"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("UnitPrice_raw"),
+        (F.col("l_discount") * 800).alias("Score"), F.when(F.col("l_returnflag") == "R", "yes").otherwise("no").alias("Ambiguous"), _NAME("l_returnflag", _CUR).alias("Cur_Canon"), _NAME("l_linestatus", _UNITS).alias("Unit_Canon"), "l_shipdate",
+    )
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("YearBin"))
+    lines = _lines(spark, sf_dir)
+    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nations = _t(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("Place_Canon"))
+    return _dated(spark, sf_dir).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+
+
+def _round(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n), 9) for n in names})
+
+
+_L = """l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice AS PriceNum, l_quantity AS QtyNum, l_extendedprice / l_quantity AS UnitPrice_raw, l_discount * 800 AS Score,
+ CASE WHEN l_returnflag = 'R' THEN 'yes' ELSE 'no' END AS Ambiguous, CASE l_returnflag WHEN 'A' THEN 'drachma' WHEN 'N' THEN 'obol' WHEN 'R' THEN 'talent' END AS Cur_Canon,
+ CASE l_linestatus WHEN 'O' THEN 'artaba' WHEN 'F' THEN 'choenix' END AS Unit_Canon, l_shipdate FROM lineitem)"""
+_D = f"""{_L}, d AS (SELECT l.*, o_custkey, year(o_orderdate)::INT AS YearBin FROM l JOIN orders ON l_orderkey = o_orderkey)"""
+_P = f"""{_D}, p AS (SELECT d.*, n_name AS Place_Canon FROM d JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+_Q = "count(*)::BIGINT AS n, quantile_cont(UnitPrice_raw::DOUBLE, 0.5) AS median, quantile_cont(UnitPrice_raw::DOUBLE, 0.25) AS q25, quantile_cont(UnitPrice_raw::DOUBLE, 0.75) AS q75"
+_T = f"""{_D}, t AS (SELECT YearBin, {_Q} FROM d GROUP BY 1), s AS (SELECT *, quantile_cont(median, 0.5) OVER (ORDER BY YearBin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS median_smooth FROM t)"""
+
+
+# --- trends and indices
+
+
+@query(f"WITH {_T} SELECT YearBin, n, round(median, 9) AS median, round(q25, 9) AS q25, round(q75, 9) AS q75, round(median_smooth, 9) AS median_smooth FROM s")
+def trend_all(spark, sf_dir):
+    return _round(analyze.trend_tables(_dated(spark, sf_dir), "UnitPrice_raw", ["YearBin"]), "median", "q25", "q75", "median_smooth")
+
+
+@query(
+    f"""WITH {_P}, t AS (SELECT YearBin, Place_Canon, {_Q} FROM p GROUP BY ALL)
+SELECT YearBin, Place_Canon, n, round(median, 9) AS median, round(q25, 9) AS q25, round(q75, 9) AS q75,
+ round(quantile_cont(median, 0.5) OVER (PARTITION BY Place_Canon ORDER BY YearBin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 9) AS median_smooth FROM t"""
+)
+def trend_place(spark, sf_dir):
+    return _round(analyze.trend_tables(_placed(spark, sf_dir), "UnitPrice_raw", ["YearBin", "Place_Canon"]), "median", "q25", "q75", "median_smooth")
+
+
+@query(
+    """WITH t AS (SELECT n_nationkey, n_regionkey, sum(c_acctbal) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT n_nationkey, n_regionkey, round(balance, 4) AS balance, round(quantile_cont(balance, 0.5) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS smooth FROM t"""
+)
+def rolling_median(spark, sf_dir):
+    c, n = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    t = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", "n_regionkey").agg(F.sum("c_acctbal").alias("balance"))
+    out = stats.rolling_median(t, "balance", "n_nationkey", ["n_regionkey"], 5, "smooth")
+    return out.withColumns({x: F.round(x, 4) for x in ("balance", "smooth")})
+
+
+@query(
+    f"""WITH {_T}, b AS (SELECT quantile_cont(median, 0.5) AS base, quantile_cont(median_smooth, 0.5) AS smooth FROM s WHERE YearBin BETWEEN 1995 AND 1996)
+SELECT YearBin, n, round(median, 9) AS median, round(100 * median / base, 9) AS price_index, round(100 * median_smooth / smooth, 9) AS price_index_smooth FROM s, b"""
+)
+def price_index(spark, sf_dir):
+    t = analyze.trend_tables(_dated(spark, sf_dir), "UnitPrice_raw", ["YearBin"])
+    out = stats.price_index(t, "YearBin", 1995, 1996).select("YearBin", "n", "median", "price_index", "price_index_smooth")
+    return _round(out, "median", "price_index", "price_index_smooth")
+
+
+# --- numbers, names, filters
+
+_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+_LITRES = "CASE Unit_Canon WHEN 'artaba' THEN 38.8::DOUBLE WHEN 'choenix' THEN 1.08::DOUBLE END"
+
+
+@query(
+    f"""WITH {_L}, x AS (SELECT *, PriceNum * CASE Cur_Canon WHEN 'drachma' THEN 1::DOUBLE WHEN 'obol' THEN 1::DOUBLE / 6 WHEN 'talent' THEN 6000::DOUBLE END AS eq, QtyNum * {_LITRES} AS lit FROM l)
+SELECT {_KEYS}, round(eq, 3) AS Price_DrachmaEq, lit AS Qty_Liters, eq / lit AS Price_per_Liter_DrachmaEq, eq / lit * 38.8::DOUBLE AS Price_per_Artaba_DrachmaEq,
+ round(log10(eq / lit), 9) AS log_Price_per_Liter FROM x"""
+)
+def std_prices_c(spark, sf_dir):
+    names = ["Price_DrachmaEq", "Qty_Liters", "Price_per_Liter_DrachmaEq", "Price_per_Artaba_DrachmaEq", "log_Price_per_Liter"]
+    rows = analyze.standard_prices(_lines(spark, sf_dir)).select(*_KEYS.split(", "), *names)
+    return rows.withColumns({"Price_DrachmaEq": F.round("Price_DrachmaEq", 3), "log_Price_per_Liter": F.round("log_Price_per_Liter", 9)})
+
+
+@query(
+    f"""WITH {_L}, x AS (SELECT *, PriceNum * CASE Cur_Canon WHEN 'drachma' THEN 1::DOUBLE WHEN 'obol' THEN 1::DOUBLE / 6 END AS eq, QtyNum * {_LITRES} / 38.8::DOUBLE AS art FROM l)
+SELECT {_KEYS}, eq AS Price_DrachmaEq_calc, art AS Qty_ArtabaEq_calc, eq / art AS UnitPrice_Drachma_per_ArtabaEq_calc FROM x"""
+)
+def std_prices_d(spark, sf_dir):
+    return analyze.artaba_prices(_lines(spark, sf_dir)).select(*_KEYS.split(", "), "Price_DrachmaEq_calc", "Qty_ArtabaEq_calc", "UnitPrice_Drachma_per_ArtabaEq_calc")
+
+
+@query(f"WITH {_L} SELECT CASE WHEN Score >= 65 AND Ambiguous = 'no' THEN 'A' WHEN Score >= 60 THEN 'B' ELSE 'C' END AS Tier, Ambiguous, count(*)::BIGINT AS n, round(sum(QtyNum), 4) AS qty FROM l GROUP BY 1, 2")
+def quality_tier(spark, sf_dir):
+    rows = _lines(spark, sf_dir).withColumn("Tier", numbers.quality_tier(F.col("Score"), text.is_yes(F.col("Ambiguous"))))
+    return rows.groupBy("Tier", "Ambiguous").agg(F.count("*").alias("n"), F.round(F.sum("QtyNum"), 4).alias("qty"))
+
+
+@query(f"WITH {_L} SELECT {_KEYS}, round(Score, 9) AS Score FROM l WHERE Score >= 60 AND Ambiguous <> 'yes'")
+def main_filter(spark, sf_dir):
+    return _round(analyze.main_filter(_lines(spark, sf_dir), 60.0, True).select(*_KEYS.split(", "), "Score"), "Score")
+
+
+@query(f"WITH {_L} SELECT Unit_Canon, Cur_Canon, count(*)::BIGINT AS n, min(PriceNum) AS low, max(PriceNum) AS high FROM l WHERE Unit_Canon = 'artaba' AND Cur_Canon IN ('drachma', 'obol') AND PriceNum > 0 GROUP BY ALL")
+def subset_filter(spark, sf_dir):
+    rows = _lines(spark, sf_dir).where((F.col("Unit_Canon") == "artaba") & F.col("Cur_Canon").isin("drachma", "obol") & (F.col("PriceNum") > 0))
+    return rows.groupBy("Unit_Canon", "Cur_Canon").agg(F.count("*").alias("n"), F.min("PriceNum").alias("low"), F.max("PriceNum").alias("high"))
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS w, CASE WHEN o_orderkey % 4 IN (1, 2) THEN '-0' || (100 + o_orderkey % 200)::VARCHAR ELSE '' END AS b,
+ CASE WHEN o_orderkey % 4 = 2 THEN (o_orderkey % 300)::VARCHAR ELSE '' END AS a FROM orders),
+y AS (SELECT o_orderkey, CASE WHEN w <> '' THEN left(w, 4)::DOUBLE END AS w, CASE WHEN b <> '' THEN -(substr(b, 2)::DOUBLE) END AS b, CASE WHEN a <> '' THEN a::DOUBLE END AS a FROM d),
+z AS (SELECT o_orderkey, coalesce(w, (b + a) / 2, b, a) AS Year FROM y) SELECT o_orderkey, Year, (floor(Year / 25) * 25)::INT AS YearBin FROM z WHERE Year IS NOT NULL"""
+)
+def year_infer(spark, sf_dir):
+    k = F.col("o_orderkey")
+    when = F.when(k % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("")
+    before = F.when((k % 4).isin(1, 2), F.concat(F.lit("-0"), (100 + k % 200).cast("string"))).otherwise("")
+    after = F.when(k % 4 == 2, (k % 300).cast("string")).otherwise("")
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", numbers.infer_year(when, before, after).alias("Year"))
+    return rows.where("Year is not null").withColumn("YearBin", numbers.year_bin(F.col("Year")))
+
+
+_PLACE_NAMES = ("Oxyrhynchus", "Arsinoe, Fayum", "Hermopolis", "Herakleopolis", "Memphis", "Panopolis (Akhmim)", "Thebes", "Alexandria", "Rome", "")
+_PLACE_ROWS = ", ".join(f"({i}, '{n}')" for i, n in enumerate(_PLACE_NAMES))
+
+
+@query(
+    f"""WITH v(k, place) AS (VALUES {_PLACE_ROWS}), x AS (SELECT c_custkey, place, lower(place) AS p FROM customer JOIN v ON c_custkey % 10 = k)
+SELECT c_custkey, place, CASE WHEN p = '' THEN 'Unknown' WHEN regexp_matches(p, 'oxyrh') THEN 'Oxyrhynchite' WHEN regexp_matches(p, 'arsin|fayum') THEN 'Arsinoite' WHEN p LIKE '%hermop%' THEN 'Hermopolite'
+ WHEN p LIKE '%herakleop%' THEN 'Herakleopolite' WHEN p LIKE '%memph%' THEN 'Memphite' WHEN regexp_matches(p, 'panop|akhmim') THEN 'Panopolite' WHEN regexp_matches(p, 'theb|lycop') THEN 'Thebaid'
+ WHEN p LIKE '%alex%' THEN 'Alexandria' ELSE 'Unknown' END AS Place_Canon FROM x"""
+)
+def place_bucket(spark, sf_dir):
+    place = F.element_at(F.array(*[F.lit(n) for n in _PLACE_NAMES]), (F.col("c_custkey") % 10 + 1).cast("int"))
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", place.alias("place"))
+    return rows.withColumn("Place_Canon", canon.place(text.norm_greek("place")))
+
+
+_FORMS = ("ΠΥΡΟΥ", "σίτου", "κριθῆς", "ζέας", "ὀλύρας", "ἀλεύρου", "στάχυς", "οἴνου", "")
+_FORM_NAMES = ("wheat (pyros)", "grain (sitos)", "barley (krithē)", "spelt/zea", "emmer (olyra)", "flour (aleuron)", "ear/spike (stachys)", "οινου", "")
+_FORM_ROWS = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(zip(_FORMS, _FORM_NAMES, strict=True)))
+
+
+@query(f"WITH v(k, form, name) AS (VALUES {_FORM_ROWS}) SELECT p_partkey, form AS Grain_Form, name AS Grain_Canon FROM part JOIN v ON p_partkey % 9 = k")
+def canon_prefix(spark, sf_dir):
+    form = F.element_at(F.array(*[F.lit(n) for n in _FORMS]), (F.col("p_partkey") % 9 + 1).cast("int"))
+    rows = _t(spark, sf_dir, "part").select("p_partkey", form.alias("Grain_Form")).withColumn("_n", text.norm_greek("Grain_Form"))
+    return rows.select("p_partkey", "Grain_Form", canon.grain(F.col("_n")).alias("Grain_Canon"))
+
+
+@query("SELECT p_partkey, round(p_size + (1 + p_partkey % 3)::DOUBLE / (2 + p_partkey % 5) + 0.5, 6) AS value FROM part")
+def fraction_parse(spark, sf_dir):
+    k = F.col("p_partkey")
+    fractions = F.concat(F.lit(" "), (1 + k % 3).cast("string"), F.lit("/"), (2 + k % 5).cast("string"), F.lit(", 1/2 7/0"))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.round(text.parse_number(F.col("p_size").cast("string"), fractions), 6).alias("value"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 8 = 0 THEN (p_size // 8)::VARCHAR ELSE regexp_replace(printf('%.6f', p_size::DOUBLE / 8), '\\.?0+$', '') END AS formatted FROM part")
+def fraction_format(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", text.format_fraction(F.col("p_size") / F.lit(8.0)).alias("formatted"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN (p_size::DOUBLE / 4) WHEN 2 THEN NULL WHEN 3 THEN p_retailprice WHEN 4 THEN NULL ELSE p_size::DOUBLE END AS value FROM part"""
+)
+def to_float(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size").cast("string")
+    made = F.when(k % 6 == 0, "").when(k % 6 == 1, F.concat(s, F.lit("/4"))).when(k % 6 == 2, F.concat(s, F.lit("/0"))).when(k % 6 == 3, F.col("p_retailprice").cast("string")).when(k % 6 == 4, F.concat(s, F.lit("d"))).otherwise(F.concat(F.lit(" "), s))
+    return _t(spark, sf_dir, "part").select("p_partkey", numbers.to_float(made).alias("value"))
+
+
+@query(
+    f"""WITH {_L}, s AS (SELECT *, round(Score, 3) AS r FROM l), b AS (SELECT CASE WHEN r <= 10 THEN '00-10' ELSE lpad((floor((r - 1) / 10) * 10 + 1)::INT::VARCHAR, 2, '0') || '-' || lpad(least(floor((r - 1) / 10) * 10 + 10, 80)::INT::VARCHAR, 2, '0') END AS bin FROM s)
+SELECT bin, count(*)::BIGINT AS n FROM b GROUP BY 1"""
+)
+def score_bin(spark, sf_dir):
+    return _lines(spark, sf_dir).groupBy(numbers.score_bin(F.round("Score", 3)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+# --- robust statistics
+
+_MAD = """g AS (SELECT Unit_Canon, Cur_Canon, quantile_cont(UnitPrice_raw, 0.5) AS med FROM l GROUP BY ALL), m AS (SELECT l.*, med FROM l JOIN g USING (Unit_Canon, Cur_Canon)),
+h AS (SELECT Unit_Canon, Cur_Canon, quantile_cont(abs(UnitPrice_raw - med), 0.5) AS mad FROM m GROUP BY ALL), z AS (SELECT m.*, 0.6745 * (UnitPrice_raw - med) / mad AS zz FROM m JOIN h USING (Unit_Canon, Cur_Canon))"""
+
+
+@query(f"WITH {_L}, {_MAD} SELECT {_KEYS}, round(zz, 9) AS RAW_Group_GroupZ, abs(zz) >= 1.5 AS RAW_Group_IsOutlier FROM z")
+def mad_outliers(spark, sf_dir):
+    rows = stats.group_outliers(_lines(spark, sf_dir), "UnitPrice_raw", ["Unit_Canon", "Cur_Canon"], "RAW_Group", 1.5)
+    return _round(rows.select(*_KEYS.split(", "), "RAW_Group_GroupZ", "RAW_Group_IsOutlier"), "RAW_Group_GroupZ")
+
+
+def _robust(source: str, by: str, mad: float, winsor: tuple[float, float] | None = None) -> str:
+    on = " AND ".join(f"{{0}}.{c} = {{1}}.{c}" for c in by.split(", "))
+    z = f"""z0 AS (SELECT *, log10(UnitPrice_raw) AS z FROM {source}), z1 AS (SELECT {by}, quantile_cont(z, 0.5) AS med FROM z0 GROUP BY ALL), z2 AS (SELECT z0.*, med FROM z0 JOIN z1 ON {on.format('z0', 'z1')}),
+z3 AS (SELECT {by}, quantile_cont(abs(z - med), 0.5) AS mad FROM z2 GROUP BY ALL), z4 AS (SELECT z2.* FROM z2 JOIN z3 ON {on.format('z2', 'z3')} WHERE mad = 0 OR abs(0.6745 * (z - med) / mad) <= {mad})"""
+    last = "z4"
+    if winsor:
+        z += f", z5 AS (SELECT {by}, quantile_cont(z, {winsor[0]}) AS lo, quantile_cont(z, {winsor[1]}) AS hi FROM z4 GROUP BY ALL), z6 AS (SELECT z4.* REPLACE (greatest(lo, least(hi, z)) AS z) FROM z4 JOIN z5 ON {on.format('z4', 'z5')})"
+        last = "z6"
+    return f"{z}, r AS (SELECT {by}, count(*)::BIGINT AS n, round(pow(10, quantile_cont(z, 0.5)), 4) AS median, round(pow(10, quantile_cont(z, 0.25)), 4) AS q25, round(pow(10, quantile_cont(z, 0.75)), 4) AS q75 FROM {last} GROUP BY ALL)"
+
+
+def _four(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 4) for c in ("median", "q25", "q75")})
+
+
+@query(f"WITH {_D}, {_robust('d', 'YearBin', 1.5)} SELECT * FROM r")
+def robust_bin_summary(spark, sf_dir):
+    return _four(stats.robust_summary(_dated(spark, sf_dir), "UnitPrice_raw", ["YearBin"], 1.5))
+
+
+@query(f"WITH {_D}, {_robust('d', 'YearBin', 1.5, (0.05, 0.95))} SELECT * FROM r")
+def robust_bin_winsor(spark, sf_dir):
+    return _four(stats.robust_summary(_dated(spark, sf_dir), "UnitPrice_raw", ["YearBin"], 1.5, (0.05, 0.95)))
+
+
+@query(f"WITH {_P}, top AS (SELECT Place_Canon FROM p GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6), q AS (SELECT p.* FROM p SEMI JOIN top USING (Place_Canon)), {_robust('q', 'Place_Canon, YearBin', 1.5)} SELECT * FROM r WHERE n >= 5")
+def robust_trend_place_topn(spark, sf_dir):
+    return _four(stats.robust_summary(stats.restrict_top(_placed(spark, sf_dir), "Place_Canon", 6), "UnitPrice_raw", ["Place_Canon", "YearBin"], 1.5, None, 5))
+
+
+@query("SELECT CASE WHEN trim(v) = '' THEN '(blank)' ELSE v END AS kind, count(*)::BIGINT AS count FROM (SELECT CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type END AS v FROM events) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4")
+def value_counts(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select(F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("event_type")).alias("kind"))
+    return stats.value_counts(rows, "kind", 4)
+
+
+_HIST = """e AS (SELECT min(x) AS lo, max(x) AS hi FROM v), c AS (SELECT least({n} - 1, floor((x - lo) / (hi - lo) * {n}))::INT AS bin, count(*)::BIGINT AS count FROM v, e GROUP BY 1),
+f AS (SELECT unnest(range({n}))::INT AS bin) SELECT f.bin, round(lo + (hi - lo) / {n} * f.bin, 9) AS low, round(lo + (hi - lo) / {n} * (f.bin + 1), 9) AS high, coalesce(c.count, 0)::BIGINT AS count FROM f CROSS JOIN e LEFT JOIN c ON c.bin = f.bin"""
+
+
+@query(f"WITH v AS (SELECT l_extendedprice AS x FROM lineitem), {_HIST.format(n=30)}")
+def hist_equal_width(spark, sf_dir):
+    return _round(stats.histogram(_lines(spark, sf_dir), "PriceNum", 30), "low", "high")
+
+
+@query(f"WITH q AS (SELECT quantile_cont(l_extendedprice, 0.995) AS q FROM lineitem), v AS (SELECT log10(l_extendedprice) AS x FROM lineitem, q WHERE l_extendedprice <= q), {_HIST.format(n=45)}")
+def hist_log_clip(spark, sf_dir):
+    return _round(stats.log_histogram(_lines(spark, sf_dir), "PriceNum", 45), "low", "high")
+
+
+@query(f"WITH {_L} SELECT {_KEYS}, round(UnitPrice_raw, 9) AS UnitPrice_raw FROM l WHERE UnitPrice_raw > 0 ORDER BY l.UnitPrice_raw DESC, {_KEYS} LIMIT 50")
+def extremes_topn(spark, sf_dir):
+    rows = stats.extremes(_lines(spark, sf_dir), "UnitPrice_raw", 50, _KEYS.split(", "))
+    return _round(rows.select(*_KEYS.split(", "), "UnitPrice_raw"), "UnitPrice_raw")
+
+
+@query(
+    f"""WITH {_L}, {_MAD}, q AS (SELECT quantile_cont(UnitPrice_raw, 0.99) AS top FROM l),
+x AS (SELECT z.*, Ambiguous = 'yes' AS r1, Score < 60 AS r2, coalesce(abs(zz) >= 1.5, false) AS r7, UnitPrice_raw >= top AS r9 FROM z, q),
+y AS (SELECT *, concat_ws('; ', CASE WHEN r1 THEN 'ambiguous' END, CASE WHEN r2 THEN 'low_score(<60)' END, CASE WHEN r7 THEN 'group_outlier_raw_unitprice' END, CASE WHEN r9 THEN 'unitprice_top1pct' END) AS ReviewReason,
+ (r1::INT * 3.0 + r2::INT * 2.5 + r7::INT * 2.0)::DOUBLE AS ReviewPriority FROM x)
+SELECT {_KEYS}, ReviewReason, ReviewPriority, round(Score, 9) AS Score FROM y WHERE ReviewReason <> '' ORDER BY ReviewPriority DESC, y.Score, {_KEYS}, PriceNum LIMIT 600"""
+)
+def review_queue(spark, sf_dir):
+    rows = stats.group_outliers(_lines(spark, sf_dir), "UnitPrice_raw", ["Unit_Canon", "Cur_Canon"], "RAW_Group", 1.5)
+    return _round(analyze.review_queue(rows, [*_KEYS.split(", "), "PriceNum"], 600).select(*_KEYS.split(", "), "ReviewReason", "ReviewPriority", "Score"), "Score")
+
+
+# --- choosing rows
+
+
+@query(f"WITH {_L} SELECT {_KEYS}, Is_Primary FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN 'Yes' ELSE 'no' END AS Is_Primary FROM l) WHERE Is_Primary = 'Yes'")
+def primary_select(spark, sf_dir):
+    rows = _lines(spark, sf_dir).withColumn("Is_Primary", F.when(F.col("l_linenumber") == 1, "Yes").otherwise("no"))
+    return analyze.select_primary(rows).select(*_KEYS.split(", "), "Is_Primary")
+
+
+_FULL = "l_linenumber, l_partkey, l_suppkey, PriceNum, QtyNum"
+
+
+@query(f"WITH {_L} SELECT l_orderkey, {_FULL}, round(Score, 9) AS Score FROM l QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l.Score DESC, {_FULL}) = 1")
+def dedupe_best(spark, sf_dir):
+    return _round(analyze.dedupe_best(_lines(spark, sf_dir), ["l_orderkey"], "Score", _FULL.split(", ")).select("l_orderkey", *_FULL.split(", "), "Score"), "Score")
+
+
+_SAMPLED = """x AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'ambiguous' ELSE 'non_ambiguous' END AS Sample_Group, (o_orderkey * 7 % 881)::DOUBLE / 11 AS s FROM orders),
+b AS (SELECT *, CASE WHEN s <= 10 THEN '00-10' ELSE lpad((floor((s - 1) / 10) * 10 + 1)::INT::VARCHAR, 2, '0') || '-' || lpad(least(floor((s - 1) / 10) * 10 + 10, 80)::INT::VARCHAR, 2, '0') END AS Sample_Bin FROM x WHERE s <= 80),
+r AS (SELECT *, row_number() OVER (PARTITION BY Sample_Bin, Sample_Group ORDER BY md5('42:' || o_orderkey)) AS k, md5('42:' || o_orderkey) AS draw FROM b WHERE Sample_Bin <> '01-10')"""
+
+
+def _orders_scored(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderpriority").startswith("1"), " YES ").otherwise("no").alias("Ambiguous"), ((k * 7 % 881).cast("double") / 11).alias("Score"))
+    return sample.strata(rows, F.col("Score"), F.col("Ambiguous"))
+
+
+@query(f"WITH {_SAMPLED} SELECT o_orderkey, Sample_Bin, Sample_Group FROM r WHERE k <= CASE Sample_Group WHEN 'ambiguous' THEN 5 ELSE 6 END")
+def strat_sample(spark, sf_dir):
+    return sample.stratified(_orders_scored(spark, sf_dir), F.col("o_orderkey").cast("string"), 11).select("o_orderkey", "Sample_Bin", "Sample_Group")
+
+
+@query(
+    f"""WITH {_SAMPLED}, o AS (SELECT *, k <= CASE Sample_Group WHEN 'ambiguous' THEN 300 ELSE 300 END AS own FROM r),
+f AS (SELECT *, row_number() OVER (PARTITION BY Sample_Bin ORDER BY own DESC, draw) AS place FROM o) SELECT o_orderkey, Sample_Bin, Sample_Group FROM f WHERE place <= 600"""
+)
+def strat_sample_fill(spark, sf_dir):
+    return sample.stratified(_orders_scored(spark, sf_dir), F.col("o_orderkey").cast("string"), 600, fill=True).select("o_orderkey", "Sample_Bin", "Sample_Group")
+
+
+# --- documents: gates and evidence, with words that the made-up texts have
+
+_LATIN = Lexicon(grain=("th", "la"), unit=("on", "en"), money=("er", "re"), priceword=r"(ing|eau)", half_is_money=False)
+_W = "(?:^|[^\\p{L}\\p{N}_])"
+
+
+def _document_blocks(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_idx", "raw_text"))
+    none = F.array().cast("array<string>")
+    return rows.where("raw_text <> ''").select("doc_id", "block_idx", "raw_text", F.lower("raw_text").alias("norm"), none.alias("num_values"), none.alias("num_texts"), F.lit(0).alias("num_tag_count"))
+
+
+_OPTIONS = HarvestOptions(lexicon=_LATIN)
+_BLOCKS = f"""bl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw_text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_idx FROM documents),
+ev AS (SELECT doc_id, block_idx::INT AS block_idx, raw_text, regexp_extract_all(lower(raw_text), '{_W}(th|la)', 1) AS grain, regexp_extract_all(lower(raw_text), '{_W}(on|en)', 1) AS unit,
+ regexp_extract_all(lower(raw_text), '{_W}(er|re)', 1) AS money, regexp_matches(lower(raw_text), 'ing|eau') AS price, regexp_matches(raw_text, '[0-9]') AS num FROM bl WHERE raw_text <> ''),
+kept AS (SELECT * FROM ev WHERE len(grain) > 0 AND num AND (len(money) > 0 OR price))"""
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, block_idx, price AS priceword, len(unit)::INT AS n_unit FROM kept")
+def doc_gate(spark, sf_dir):
+    rows = harvest.block_evidence(_document_blocks(spark, sf_dir), _OPTIONS).where("keep")
+    return rows.select("doc_id", "block_idx", "priceword", F.size("unit").alias("n_unit"))
+
+
+_ROLL = f"""{_BLOCKS}, g AS (SELECT doc_id, count(*)::INT AS Block_Match_Count, list_sort(list_distinct(flatten(list(grain)))) AS gr, list_sort(list_distinct(flatten(list(unit)))) AS un, list_sort(list_distinct(flatten(list(money)))) AS mo,
+ bool_or(price) AS pw, list(left(raw_text, 300) ORDER BY block_idx) AS sn FROM kept GROUP BY doc_id)"""
+
+
+@query(
+    f"""WITH {_ROLL} SELECT doc_id, ((len(un) > 0)::INT + (len(mo) > 0)::INT + pw::INT)::INT AS Score, Block_Match_Count, array_to_string(gr, ';') AS Grain_Hits, array_to_string(un, ';') AS Unit_Hits,
+ array_to_string(mo, ';') AS Money_Hits, CASE WHEN pw THEN 'yes' ELSE 'no' END AS Priceword_Hit, 'digit' AS Number_Type_Summary FROM g"""
+)
+def doc_evidence_rollup(spark, sf_dir):
+    rows = harvest.roll_up(harvest.block_evidence(_document_blocks(spark, sf_dir), _OPTIONS), ["doc_id"], ["block_idx"], _OPTIONS)
+    return rows.select("doc_id", "Score", "Block_Match_Count", "Grain_Hits", "Unit_Hits", "Money_Hits", "Priceword_Hit", "Number_Type_Summary")
+
+
+@query(f"WITH {_ROLL} SELECT doc_id, coalesce(sn[1], '') AS Snippet_1, coalesce(sn[2], '') AS Snippet_2, coalesce(sn[3], '') AS Snippet_3 FROM g")
+def snippets_topn(spark, sf_dir):
+    rows = harvest.roll_up(harvest.block_evidence(_document_blocks(spark, sf_dir), _OPTIONS), ["doc_id"], ["block_idx"], _OPTIONS)
+    return rows.select("doc_id", "Snippet_1", "Snippet_2", "Snippet_3")
+
+
+@query(f"WITH {_ROLL} SELECT row_number() OVER (ORDER BY Block_Match_Count DESC, doc_id)::INT AS place, doc_id, Block_Match_Count FROM g ORDER BY Block_Match_Count DESC, doc_id LIMIT 100")
+def candidate_sort(spark, sf_dir):
+    rows = harvest.roll_up(harvest.block_evidence(_document_blocks(spark, sf_dir), _OPTIONS), ["doc_id"], ["block_idx"], _OPTIONS)
+    top = rows.select("doc_id", "Block_Match_Count").orderBy(F.desc("Block_Match_Count"), "doc_id").limit(100)
+    from pyspark.sql import Window
+
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("Block_Match_Count"), "doc_id")))
+
+
+@query(
+    """WITH m AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS Title, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, toxic DESC) AS r FROM labels)
+SELECT d.doc_id::VARCHAR AS ddb_id, coalesce(Title, '') AS Title FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id AND r = 1"""
+)
+def metadata_left_join(spark, sf_dir):
+    meta = _t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("ddb_id"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("Title"), F.format_string("%d%d", "quality", "toxic").alias("path"))
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("ddb_id"))
+    return xml.with_metadata(docs, xml.latest_metadata(meta))
+
+
+@query("SELECT doc_id::VARCHAR AS DDB_ID FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_missing_files(spark, sf_dir):
+    jobs = tables.candidate_jobs(_t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("DDB_ID"), F.concat(F.lit(" a\\"), F.col("doc_id").cast("string"), F.lit(".xml ")).alias("XML_RelPath")))
+    files = _t(spark, sf_dir, "labels").select(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("rel_path"))
+    return tables.missing_files(jobs, files).select("DDB_ID")
+
+
+@query(
+    """WITH t AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents)
+SELECT doc_id, len(w)::INT AS n_tokens, w[1] AS first_token, w[len(w)] AS last_token, (len(w) - 1)::INT AS last_index FROM t"""
+)
+def tokens_positions(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").withColumn("w", text.tokens(F.col("text")))
+    return rows.select("doc_id", F.size("w").alias("n_tokens"), F.element_at("w", 1).alias("first_token"), F.element_at("w", -1).alias("last_token"), text.token_at(F.col("text"), F.length(F.rtrim("text")) - 1).alias("last_index"))
+
+
+# --- linking: each order is a block, τιμη πυρου αρταβων <1 to 50> δραχμαι <price>
+
+_QTY, _PRICE = "(1 + o_orderkey % 50)", "floor(o_totalprice)"
+_PAIRS = """c(rk, is_num_price, has_qty, score) AS (VALUES (1, false, true, 81.847348), (2, true, true, 77.789586), (3, false, false, 62.578907), (4, true, false, 58.521145))"""
+
+
+def _mentions(spark, sf_dir):
+    n = F.concat(F.lit("τιμὴ πυροῦ ἀρταβῶν "), F.expr(_QTY).cast("bigint").cast("string"), F.lit(" δραχμαὶ "), F.expr(_PRICE).cast("bigint").cast("string"))
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey"), n.alias("value_text"), F.lit(True).alias("unit_signal"))
+    return link.events(rows.withColumn("value_norm", text.normalize_for_search("value_text")))
+
+
+_MENTION = ["o_orderkey"]
+
+
+def _ranked(spark, sf_dir):
+    return link.rank(link.candidates(_mentions(spark, sf_dir)), _MENTION)
+
+
+@query(
+    f"""SELECT o_orderkey, 'qty' AS kind, 2::INT AS tok, {_QTY}::DOUBLE AS value, 'αρταβων' AS word FROM orders UNION ALL SELECT o_orderkey, 'price', 3, {_QTY}::DOUBLE, 'δραχμαι' FROM orders
+UNION ALL SELECT o_orderkey, 'price', 4, {_PRICE}, 'δραχμαι' FROM orders UNION ALL SELECT o_orderkey, 'grain', 1, NULL, 'πυρου' FROM orders UNION ALL SELECT o_orderkey, 'priceword', 0, NULL, 'τιμη' FROM orders"""
+)
+def event_extract(spark, sf_dir):
+    rows = _mentions(spark, sf_dir)
+    none = F.lit(None).cast("double")
+    def of(kind: str, column: str, valued: bool):
+        value = F.col("e.value") if valued else none
+        return rows.select("o_orderkey", F.lit(kind).alias("kind"), F.explode(column).alias("e")).select("o_orderkey", "kind", F.col("e.tok").alias("tok"), value.alias("value"), F.col("e.word").alias("word"))
+
+    out = of("qty", "qtys", True)
+    for kind, column, valued in (("price", "prices", True), ("grain", "grains", False), ("priceword", "pricewords", False)):
+        out = out.unionByName(of(kind, column, valued))
+    return out
+
+
+@query(f"WITH {_PAIRS} SELECT o_orderkey, CASE WHEN is_num_price THEN 4 ELSE 3 END::INT AS price_tok, CASE WHEN is_num_price THEN 4 ELSE 3 END::INT AS d_pw FROM orders, c WHERE has_qty")
+def nearest_priceword(spark, sf_dir):
+    return link.candidates(_mentions(spark, sf_dir)).where("qty_tok is not null").select("o_orderkey", "price_tok", "d_pw")
+
+
+@query(f"WITH {_PAIRS} SELECT o_orderkey, CASE WHEN is_num_price THEN 4 ELSE 3 END::INT AS price_tok, CASE WHEN has_qty THEN 2 ELSE -1 END::INT AS qty_tok, CASE WHEN is_num_price THEN 3 ELSE 2 END::INT AS d_gp, CASE WHEN has_qty THEN 1 ELSE -1 END::INT AS d_gq FROM orders, c")
+def band_join_candidates(spark, sf_dir):
+    return link.candidates(_mentions(spark, sf_dir)).select("o_orderkey", "price_tok", F.coalesce("qty_tok", F.lit(-1)).alias("qty_tok"), "d_gp", F.coalesce("d_gq", F.lit(-1)).alias("d_gq"))
+
+
+@query(
+    f"""WITH {_PAIRS}, x AS (SELECT rk, has_qty, CASE WHEN is_num_price THEN 3 ELSE 2 END AS d FROM c)
+SELECT o_orderkey, rk::INT AS rank, round(10 + 40 * exp(-d / 12.0) + CASE WHEN has_qty THEN 15 * exp(-1 / 20.0) ELSE 0 END + 10 * exp(-(d + 1) / 8.0) + 15 * exp(-d / 25.0) + CASE WHEN has_qty THEN 8 ELSE 3 END - 5, 9) AS score FROM orders, x"""
+)
+def confidence_score(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("o_orderkey", "rank", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_PAIRS} SELECT o_orderkey, rk::INT AS rank, round(score::DOUBLE, 4) AS score, CASE WHEN is_num_price THEN {_PRICE} ELSE {_QTY}::DOUBLE END AS price_value FROM orders, c WHERE rk <= 2 AND score >= 60")
+def rank_topk(spark, sf_dir):
+    rows = link.rank(link.candidates(_mentions(spark, sf_dir)), _MENTION, 60.0).where("rank <= 2")
+    return rows.select("o_orderkey", "rank", F.round("score", 4).alias("score"), "price_value")
+
+
+@query(
+    f"""WITH {_PAIRS}, n AS (SELECT rk, score, score - lead(score) OVER (ORDER BY rk) < 8 AS amb, lead(score) OVER (ORDER BY rk) AS alt FROM c)
+SELECT o_orderkey, rk::INT AS rank, coalesce(amb, false) AS ambiguous, CASE WHEN amb THEN round(alt::DOUBLE, 4) END AS alt_score FROM orders, n"""
+)
+def ambiguity_lead(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("o_orderkey", "rank", "ambiguous", F.round("alt_score", 4).alias("alt_score"))
+
+
+@query(f"SELECT o_orderkey, 1::INT AS Grain_Index, 1::INT AS primary_rank FROM orders UNION ALL SELECT o_orderkey, 2, 2 FROM orders")
+def greedy_primary(spark, sf_dir):
+    """Two grains want the first price; the second one takes what is left."""
+    g = F.explode(F.array(F.lit(1), F.lit(2))).alias("Grain_Index")
+    base = _ranked(spark, sf_dir).where("qty_tok is not null").drop("Grain_Index").select("*", g)
+    rows = base.withColumn("score", F.col("score") - F.col("Grain_Index") - 10)
+    return link.primaries(rows, _MENTION).select("o_orderkey", "Grain_Index", "primary_rank")
+
+
+@query(f"WITH {_PAIRS} SELECT o_orderkey, rk::INT AS rank, rk = 1 AS is_primary FROM orders, c WHERE rk <= 3")
+def emit_policy(spark, sf_dir):
+    options = LinkOptions(topk=3, global_assign=True, emit_topk_and_primary_only=True)
+    return link.emit(link.with_primary(_ranked(spark, sf_dir), _MENTION, options), options).select("o_orderkey", "rank", "is_primary")
+
+
+@query(
+    f"""WITH {_PAIRS} SELECT o_orderkey, rk::INT AS rank, CASE WHEN is_num_price THEN 'τιμὴ πυροῦ ἀρταβῶν ' || {_QTY} || ' δραχμαὶ ' || {_PRICE}::BIGINT ELSE 'τιμὴ πυροῦ ἀρταβῶν ' || {_QTY} || ' δραχμαὶ' END AS context FROM orders, c WHERE rk <= 2"""
+)
+def context_window(spark, sf_dir):
+    rows = _ranked(spark, sf_dir).where("rank <= 2")
+    return rows.select("o_orderkey", "rank", text.context_window(text.tokens(F.col("value_text")), F.col("low") - 1, F.col("high") + 1).alias("context"))
+
+
+@query(f"SELECT o_orderkey, {_QTY} || ' αρταβων' AS Quantities, {_QTY} || ' δραχμαι;' || {_PRICE}::BIGINT || ' δραχμαι' AS Prices FROM orders WHERE {_QTY} <> {_PRICE}")
+def mention_amounts(spark, sf_dir):
+    every = lambda c: text.ordered_join(F.transform(c, lambda e: F.concat_ws(" ", text.format_fraction(e["value"]), e["word"])))
+    return _mentions(spark, sf_dir).where(f"{_QTY} <> {_PRICE}").select("o_orderkey", every("qtys").alias("Quantities"), every("prices").alias("Prices"))
+
+
+@query("SELECT n_nationkey, lower(n_name) || ' σιτοσ αρταβη ' || n_nationkey AS norm FROM nation")
+def normalize_text(spark, sf_dir):
+    return _t(spark, sf_dir, "nation").select("n_nationkey", text.normalize_for_search(F.concat("n_name", F.lit("  ΣΙΤΟΣ \n ἀρτάβη\t"), F.col("n_nationkey").cast("string"))).alias("norm"))
+
+
+# --- editions made from rows
+
+_TEI = "http://www.tei-c.org/ns/1.0"
+
+
+def _editions(spark, sf_dir):
+    q, p, k = F.expr(_QTY).cast("bigint").cast("string"), F.expr(_PRICE).cast("bigint").cast("string"), F.col("o_orderkey").cast("string")
+    body = F.concat(
+        F.lit(f'<TEI xmlns="{_TEI}"><teiHeader><titleStmt><title> Account '), k, F.lit('</title></titleStmt><idno type="ddb-hybrid"> d;'), k, F.lit(' </idno><origPlace>Thebes</origPlace><origDate notBefore="0100" notAfter="0151">2nd c.</origDate></teiHeader>'),
+        F.lit('<div type="edition"><ab>τιμὴ πυροῦ ἀρταβῶν <num value="'), q, F.lit('">κε</num> δραχμαὶ <num value="'), p, F.lit('">τ</num><l>στίχος</l></ab></div></TEI>'),
+    )
+    return _t(spark, sf_dir, "orders").select(F.concat(F.lit("/c/"), k, F.lit(".xml")).alias("path"), body.cast("binary").alias("content"))
+
+
+@query(
+    f"""SELECT 'd;' || o_orderkey AS ddb_id, 0::INT AS block_idx, 'ab' AS block_tag, 'τιμὴ πυροῦ ἀρταβῶν ' || {_QTY} || ' δραχμαὶ ' || {_PRICE}::BIGINT || ' στίχος' AS value_text, {_QTY} || ';' || {_PRICE}::BIGINT AS num_values FROM orders
+UNION ALL SELECT 'd;' || o_orderkey, 1, 'l', 'στίχος', '' FROM orders"""
+)
+def xml_blocks(spark, sf_dir):
+    return xml.parse_blocks(_editions(spark, sf_dir)).select("ddb_id", "block_idx", "block_tag", "value_text", F.array_join("num_values", ";").alias("num_values"))
+
+
+@query("SELECT 'd;' || o_orderkey AS ddb_id, 'Account ' || o_orderkey AS Title, 'Thebes' AS Place, '2nd c.' AS Date_Text, '' AS Date_When, '0100' AS Date_NotBefore, '0151' AS Date_NotAfter FROM orders")
+def xml_metadata(spark, sf_dir):
+    return xml.latest_metadata(xml.parse_metadata(_editions(spark, sf_dir)))
+
+
+@query("SELECT 'd;' || o_orderkey AS DDB_ID, o_orderkey || '.xml' AS XML_RelPath, 4::INT AS Score, 1::INT AS Block_Match_Count, 'πυρ' AS Grain_Hits, 'αρταβ' AS Unit_Hits, 'δραχμ' AS Money_Hits, 'num_tag' AS Number_Type_Summary, 'Thebes' AS Place FROM orders")
+def harvest_documents(spark, sf_dir):
+    files = _editions(spark, sf_dir)
+    rows = harvest.harvest(files, xml.latest_metadata(xml.parse_metadata(files)), "/c", HarvestOptions(lexicon=HARVEST_LEXICON))
+    return rows.select("DDB_ID", "XML_RelPath", "Score", "Block_Match_Count", "Grain_Hits", "Unit_Hits", "Money_Hits", "Number_Type_Summary", "Place")
+
+
+@query(
+    f"""SELECT 'd;' || o_orderkey AS DDB_ID, 1::INT AS Mention_ID, {_QTY}::VARCHAR AS Qty_Value, {_QTY}::VARCHAR AS Price_Value, 81.85::DOUBLE AS Score, 'yes' AS Ambiguous, '77.79' AS AltScore, 'wheat (pyros)' AS Grain_Canon,
+ 'Thebaid' AS Place_Canon, 125.5::DOUBLE AS Year, 125::INT AS YearBin, 'B' AS Tier, 1.0::DOUBLE AS UnitPrice_raw FROM orders"""
+)
+def pipeline_e2e(spark, sf_dir):
+    """Editions to linked rows to clean ones."""
+    files = _editions(spark, sf_dir)
+    blocks = xml.parse_blocks(files).withColumnRenamed("ddb_id", "DDB_ID")
+    meta = xml.latest_metadata(xml.parse_metadata(files)).withColumnRenamed("ddb_id", "DDB_ID")
+    found = link.find_mentions(blocks.join(meta, "DDB_ID"))
+    rows = analyze.clean(link.link(found).withColumn("Score", F.col("Score").cast("string")))
+    return rows.select("DDB_ID", "Mention_ID", "Qty_Value", "Price_Value", F.col("Score").cast("double").alias("Score"), "Ambiguous", "AltScore", "Grain_Canon", "Place_Canon", "Year", "YearBin", "Tier", "UnitPrice_raw")
