@@ -133,10 +133,13 @@ def previous_factors(text: np.ndarray, starts: np.ndarray, width: int) -> np.nda
     return out
 
 
-def _runs(flags: np.ndarray, base: int, width: int) -> list[tuple[int, int]]:
+def _runs(flags: np.ndarray, width: int) -> list[tuple[int, int]]:
     """Bytes covered by the flagged windows."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [(base + int(b), base + int(e) - 1 + width) for b, e in zip(edge[::2], edge[1::2], strict=True)]
+    n = int(np.count_nonzero(flags))
+    if n in (0, len(flags)):
+        return [(0, n - 1 + width)] if n else []
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).tolist()
+    return [(b, e - 1 + width) for b, e in zip(edge[::2], edge[1::2], strict=True)]
 
 
 def _solve(rows: list[tuple], width: int, keep: str) -> Iterator[tuple[bytes, int, int]]:
@@ -151,8 +154,7 @@ def _solve(rows: list[tuple], width: int, keep: str) -> Iterator[tuple[bytes, in
         own.append(r)
     # Surroundings alone under their anchor have no other to share a window with but their own copies.
     several = [c for c, own in texts.items() if kinds[own[0][0]] > 1]
-    repeated = {c: np.zeros(len(c) - width + 1, bool) for c in texts}
-    linked = {c: np.zeros(len(c) - width + 1, bool) for c in several}
+    parts: dict[bytes, tuple[list, list]] = {}  # by surroundings: later copies, and all repeats
     if several:
         data = np.frombuffer(b"".join(several), np.uint8)
         sizes = np.array([len(c) for c in several])
@@ -162,19 +164,20 @@ def _solve(rows: list[tuple], width: int, keep: str) -> Iterator[tuple[bytes, in
         starts = np.repeat(begin - total, counts) + np.arange(int(counts.sum()))
         source = previous_factors(data, starts, width)
         later = source >= 0
-        earlier = np.zeros(len(source), bool)
-        earlier[source[later]] = True
+        both = later.copy()
+        both[source[later]] = True
         for c, at, n in zip(several, total.tolist(), counts.tolist(), strict=True):
-            repeated[c], linked[c] = later[at : at + n], earlier[at : at + n]
+            parts[c] = (_runs(later[at : at + n], width), _runs(both[at : at + n], width))
     for c, own in texts.items():
-        everything = np.ones(len(c) - width + 1, bool)
+        whole = [(0, len(c))]
+        later_runs, all_runs = parts.get(c, ([], []))
         for i, (_, _, uid, _, first) in enumerate(own):
             if keep == "first":
-                flags = everything if i else repeated[c]
+                runs = whole if i else later_runs
             else:
-                flags = everything if len(own) > 1 else repeated[c] | linked.get(c, False)
-            for b, e in _runs(flags, first, width):
-                yield uid, b, e
+                runs = whole if len(own) > 1 else all_runs
+            for b, e in runs:
+                yield uid, first + b, first + e
 
 
 def _blocks(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -286,12 +289,13 @@ def repeated_spans(docs: DataFrame, *, width: int = 200, keep: str = "first", an
     docs = docs if "uid" in docs.columns else with_uid(docs)
     k = anchor or max(1, min(ANCHOR, width // 2))
     rows = _anchor_rows(docs, width, k)
-    counts = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    found = cut(_surroundings(docs, rows.join(counts, "h"), width).where(F.col("df") <= crowd).repartition("h").sortWithinPartitions("h").mapInArrow(_spans_of(width, keep), "uid binary, start long, end long"))
-    crowded = cut(rows.join(counts.where(F.col("df") > crowd), "h"))
-    if not crowded.limit(1).count():
+    counts = cut(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    found = _surroundings(docs, rows.join(counts.where(F.col("df") <= crowd), "h"), width)
+    found = cut(found.repartition("h").sortWithinPartitions("h").mapInArrow(_spans_of(width, keep), "uid binary, start long, end long"))
+    many = counts.where(F.col("df") > crowd)
+    if not many.limit(1).count():
         return found
-    return found.unionByName(_crowded(_surroundings(docs, crowded, width), width, keep))
+    return found.unionByName(_crowded(_surroundings(docs, rows.join(many, "h"), width), width, keep))
 
 
 def _spans_of(width: int, keep: str):
