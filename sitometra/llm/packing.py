@@ -13,6 +13,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,68 +24,107 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Bytes of text tokenized at once, and entries and bytes of the cache of chunks: what bounds a task's memory.
-BLOCK, CACHE, CACHE_BYTES = 1 << 20, 300_000, 24_000_000
+BLOCK, CACHE, CACHE_BYTES = 1 << 20, 500_000, 24_000_000
 _GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_LAST = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
 
 
 class ChunkTokenizer:
     """Token ids of texts, chunk by chunk.
 
-    For tokenizers whose pre-tokenizer drops white space, as the one named by the
-    contract does: there the ids of a text are those of its chunks between ASCII
-    white space, one after the other, and most chunks recur.
+    For tokenizers that fold case and whose pre-tokenizer drops white space, as the
+    one named by the contract does: there the ids of a text are those of its chunks
+    between ASCII white space, one after the other, and most chunks recur. A comma or
+    full stop between a letter and white space is a chunk of its own, as it is a word
+    of its own to the pre-tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.held = 0
 
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) + len(chunks) > CACHE or self.held > CACHE_BYTES:
+    @staticmethod
+    def chunks(text: bytes) -> list[bytes]:
+        # Special tokens are told by their case.
+        return text.split() if b"<|" in text else _LAST.sub(rb" \1", text.lower()).split()
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, new: set[bytes]) -> None:
+        if len(self.known) + len(new) > CACHE or self.held > CACHE_BYTES:
             self.known, self.held = {}, 0
-        new = [c for c in chunks if c not in self.known]
-        if not new:
-            return
-        for chunk, got in zip(new, self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False), strict=True):
-            self.known[chunk] = ids = np.array(got.ids, "<u4").tobytes()
-            self.held += len(chunk) + len(ids)
+        # Words of letters end where a token that ends a word does, so many are one call.
+        letters = [c for c in new if len(c) < 100 and c.decode("utf-8").isalpha()]
+        got: list[bytes] = []
+        for at in range(0, len(letters), 1000):
+            part = [c.decode("utf-8") for c in letters[at : at + 1000]]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stop) != len(part):
+                got += self._encode(part)
+                continue
+            data, begin = ids.tobytes(), 0
+            for end in stop.tolist():
+                got.append(data[begin:end])
+                begin = end
+        self.known.update(zip(letters, got, strict=True))
+        others = [c for c in new if c not in self.known]
+        self.known.update(zip(others, self._encode([c.decode("utf-8") for c in others]), strict=True))
+        self.held += sum(len(c) + len(self.known[c]) for c in new)
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes | None]:
+        return list(map(self.known.get, chunks))
+
+    def _group(self, group: list[list[bytes]]) -> Iterator[Iterator[bytes]]:
+        found = [self._ids(chunks) for chunks in group]
+        new = set().union(*[chunks for chunks, ids in zip(group, found, strict=True) if None in ids]).difference(self.known)
+        if new:
+            self.learn(new)
+        for chunks, ids in zip(group, found, strict=True):
+            if None in ids:
+                known = self.known
+                ids = [known[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
+            yield iter([b"".join(ids)])
 
     def __call__(self, texts: list[bytes]) -> Iterator[Iterator[bytes]]:
         """For each text its ids as little-endian bytes, in parts."""
         group: list[list[bytes]] = []
         size = 0
-
-        def flush() -> Iterator[Iterator[bytes]]:
-            self.learn(set().union(*group))
-            for chunks in group:
-                yield iter([b"".join(map(self.known.__getitem__, chunks))])
-
         for text in texts:
             if len(text) > BLOCK:
-                yield from flush()
+                yield from self._group(group)
                 group, size = [], 0
                 yield self._long(text)
                 continue
-            group.append(text.split())
+            group.append(self.chunks(text))
             size += len(text)
             if size > BLOCK:
-                yield from flush()
+                yield from self._group(group)
                 group, size = [], 0
-        yield from flush()
+        yield from self._group(group)
 
     def _long(self, text: bytes) -> Iterator[bytes]:
         at = 0
         while at < len(text):
             m = _GAP.search(text, at + BLOCK)
-            chunks = text[at : m.start() if m else len(text)].split()
-            self.learn(set(chunks))
-            yield b"".join(map(self.known.__getitem__, chunks))
+            for ids in self._group([self.chunks(text[at : m.start() if m else len(text)])]):
+                yield from ids
             at = m.end() if m else len(text)
 
 
+@cache
+def tokenizer_at(path: str) -> ChunkTokenizer:
+    """One for each Python worker, so that what it has learnt serves later tasks."""
+    return ChunkTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of every document, its ids followed by the id `end`.
 
@@ -93,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1)
     """
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = ChunkTokenizer(tokenizer)
+        work = tokenizer_at(tokenizer)
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
