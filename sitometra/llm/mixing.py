@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, source: str, weight: Column, cap: float) -> DataFr
     return w.select(source, "source_size", "n_docs", F.when(F.col("capped"), F.col("most")).otherwise(F.col("rest") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, *, key: Column, size: Column, source: str = "source", weight: Column | None = None, cap: float = 3.0, seed: int = 7, per_bucket: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, *, key: Column, size: Column, source: str = "source", weight: Column | None = None, cap: float = 3.0, seed: int = 7, per_bucket: int = 2_000) -> DataFrame:
     """docs with size, source_size, target, epochs (whole takes), part (words of one more take) and taken.
 
     Documents get the random key md5(seed:key), and are dealt to buckets that are
