@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Bytes scored at once: what bounds a task's memory, whatever a text's length.
 BLOCK = 1 << 20
 #: A code of this many bytes is full evidence; longer texts do not add to a score.
@@ -181,7 +183,9 @@ def train(docs: DataFrame, *, order: int = 3, sample_docs: int = 1500) -> Model:
         raise ValueError("order must be 1 to 3")
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     usable = usable.select("doc_id", "lang", "text")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = cut(usable.groupBy("lang").agg(F.count("*").alias("n")))
+    # A row for each language: sent to all tasks if there are no more than a thousand, so that texts stay where they are.
+    counts = F.broadcast(counts) if counts.limit(1001).count() <= 1000 else counts
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = usable.join(counts, "lang").where(draw < F.lit(float(sample_docs)) / F.col("n")).select("lang", "text")
 
