@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Bytes of text tokenized at once, and entries and bytes of the cache of chunks: what bounds a task's memory.
-BLOCK, CACHE, CACHE_BYTES = 1 << 20, 500_000, 24_000_000
+#: Bytes of text tokenized at once, and entries and bytes of a generation of the cache of chunks, of which two are held: what bounds a task's memory.
+BLOCK, CACHE, CACHE_BYTES = 1 << 20, 400_000, 24_000_000
 _GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
-_LAST = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
+#: ASCII marks but the apostrophe, of which contractions are made, from a letter to white space.
+_MARKS = rb"[!-&(-/:-@\[-`{-~]"
+_LAST = re.compile(_MARKS + rb"(?<=[a-z]" + _MARKS + rb")" + _MARKS + rb"*(?=[ \n])")
 
 
 class ChunkTokenizer:
@@ -34,50 +36,65 @@ class ChunkTokenizer:
 
     For tokenizers that fold case and whose pre-tokenizer drops white space, as the
     one named by the contract does: there the ids of a text are those of its chunks
-    between ASCII white space, one after the other, and most chunks recur. A comma or
-    full stop between a letter and white space is a chunk of its own, as it is a word
-    of its own to the pre-tokenizer.
+    between ASCII white space, one after the other, and most chunks recur. Marks
+    between a letter and white space are a chunk of their own, as they are a word of
+    their own to the pre-tokenizer. Chunks of Latin lower-case letters are such words
+    already, so they go to the model without being folded or split.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.held = 0
 
     @staticmethod
     def chunks(text: bytes) -> list[bytes]:
         # Special tokens are told by their case.
-        return text.split() if b"<|" in text else _LAST.sub(rb" \1", text.lower()).split()
+        return text.split() if b"<|" in text else _LAST.sub(rb" \g<0>", text.lower()).split()
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, new: set[bytes]) -> None:
-        if len(self.known) + len(new) > CACHE or self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
-        # Words of letters end where a token that ends a word does, so many are one call.
-        letters = [c for c in new if len(c) < 100 and c.decode("utf-8").isalpha()]
-        got: list[bytes] = []
+        if len(self.known) > CACHE or self.held > CACHE_BYTES:
+            self.known, self.old, self.held = {}, self.known, 0
+        known, old = self.known, self.old
+        before = len(known)
+        known.update([(c, old[c]) for c in new if c in old])
+        if len(known) > before:
+            new = new.difference(known)
+        # Below U+0250 letters are in normal form, and lower case folds to itself.
+        letters, words, others = [], [], []
+        for c in new:
+            w = c.decode("utf-8")
+            if len(c) < 100 and w.isalpha() and w.islower() and (w.isascii() or max(c) < 0xCA):
+                letters.append(c)
+                words.append(w)
+            else:
+                others.append(c)
         for at in range(0, len(letters), 1000):
-            part = [c.decode("utf-8") for c in letters[at : at + 1000]]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            part = words[at : at + 1000]
+            # Words end where a token that ends a word does, so many are one call.
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stop) != len(part):
-                got += self._encode(part)
+                others += letters[at : at + 1000]
                 continue
-            data, begin = ids.tobytes(), 0
-            for end in stop.tolist():
-                got.append(data[begin:end])
-                begin = end
-        self.known.update(zip(letters, got, strict=True))
-        others = [c for c in new if c not in self.known]
-        self.known.update(zip(others, self._encode([c.decode("utf-8") for c in others]), strict=True))
-        self.held += sum(len(c) + len(self.known[c]) for c in new)
+            data, stops = ids.tobytes(), stop.tolist()
+            known.update(zip(letters[at : at + 1000], [data[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+            self.held += len(data) + stops[-1] // 2
+        got = self._encode([c.decode("utf-8") for c in others])
+        known.update(zip(others, got, strict=True))
+        self.held += sum(map(len, others)) + sum(map(len, got))
 
     def _ids(self, chunks: list[bytes]) -> list[bytes | None]:
         return list(map(self.known.get, chunks))
