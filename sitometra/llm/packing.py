@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Bytes of text tokenized at once, and entries and bytes of a generation of the cache of chunks, of which two are held: what bounds a task's memory.
-BLOCK, CACHE, CACHE_BYTES = 1 << 20, 400_000, 24_000_000
+BLOCK, CACHE, CACHE_BYTES = 1 << 20, 250_000, 12_000_000
 _GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: ASCII marks but the apostrophe, of which contractions are made, from a letter to white space.
 _MARKS = rb"[!-&(-/:-@\[-`{-~]"
@@ -43,14 +43,13 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
