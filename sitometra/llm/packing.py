@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Bytes of text tokenized at once, and entries and bytes of a generation of the cache of chunks, of which two are held: what bounds a task's memory.
-BLOCK, CACHE, CACHE_BYTES = 1 << 20, 250_000, 12_000_000
+BLOCK, CACHE, CACHE_BYTES = 1 << 20, 300_000, 12_000_000
 _GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: ASCII marks but the apostrophe, of which contractions are made, from a letter to white space.
-_MARKS = rb"[!-&(-/:-@\[-`{-~]"
-_LAST = re.compile(_MARKS + rb"(?<=[a-z]" + _MARKS + rb")" + _MARKS + rb"*(?=[ \n])")
+_MARK, _LETTER = rb"[!-&(-/:-@\[-`{-~]", rb"\xc3[\x9f-\xb6\xb8-\xbf]"
+_LAST = re.compile(_MARK + rb"(?:(?<=[a-z]" + _MARK + rb")|(?<=" + _LETTER + _MARK + rb"))" + _MARK + rb"*(?=[ \n])")
+#: Words of lower-case letters up to U+00FF: in normal form, and folding to themselves.
+_LETTERS = re.compile(rb"^(?:[a-z]|" + _LETTER + rb"){1,100}$", re.MULTILINE)
 
 
 class ChunkTokenizer:
@@ -64,50 +66,35 @@ class ChunkTokenizer:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, new: set[bytes]) -> None:
-        if len(self.known) > CACHE or self.held > CACHE_BYTES:
-            self.known, self.old, self.held = {}, self.known, 0
         known, old = self.known, self.old
-        before = len(known)
-        known.update([(c, old[c]) for c in new if c in old])
-        if len(known) > before:
+        if old:
+            known.update([(c, old[c]) for c in new if c in old])
             new = new.difference(known)
-        # Below U+0250 letters are in normal form, and lower case folds to itself.
-        letters, words, others = [], [], []
-        for c in new:
-            w = c.decode("utf-8")
-            if len(c) < 100 and w.isalpha() and w.islower() and (w.isascii() or max(c) < 0xCA):
-                letters.append(c)
-                words.append(w)
-            else:
-                others.append(c)
+        letters = _LETTERS.findall(b"\n".join(new))
+        others = list(new.difference(letters))
         for at in range(0, len(letters), 1000):
-            part = words[at : at + 1000]
+            part = letters[at : at + 1000]
             # Words end where a token that ends a word does, so many are one call.
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
             stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stop) != len(part):
-                others += letters[at : at + 1000]
+                others += part
                 continue
             data, stops = ids.tobytes(), stop.tolist()
-            known.update(zip(letters[at : at + 1000], [data[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
-            self.held += len(data) + stops[-1] // 2
+            known.update(zip(part, [data[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+            self.held += 2 * len(data)
         got = self._encode([c.decode("utf-8") for c in others])
         known.update(zip(others, got, strict=True))
         self.held += sum(map(len, others)) + sum(map(len, got))
 
-    def _ids(self, chunks: list[bytes]) -> list[bytes | None]:
-        return list(map(self.known.get, chunks))
-
     def _group(self, group: list[list[bytes]]) -> Iterator[Iterator[bytes]]:
-        found = [self._ids(chunks) for chunks in group]
-        new = set().union(*[chunks for chunks, ids in zip(group, found, strict=True) if None in ids]).difference(self.known)
+        if len(self.known) > CACHE or self.held > CACHE_BYTES:
+            self.known, self.old, self.held = {}, self.known, 0
+        new = set().union(*group).difference(self.known)
         if new:
             self.learn(new)
-        for chunks, ids in zip(group, found, strict=True):
-            if None in ids:
-                known = self.known
-                ids = [known[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
-            yield iter([b"".join(ids)])
+        for chunks in group:
+            yield iter([b"".join(map(self.known.__getitem__, chunks))])
 
     def __call__(self, texts: list[bytes]) -> Iterator[Iterator[bytes]]:
         """For each text its ids as little-endian bytes, in parts."""
