@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: The separators of words, as the contracts state them.
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
     path = f"{folder}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # The write has a plan of its own, so no later one looks for its shuffles: their files go as it ends.
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     place = context._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
