@@ -266,7 +266,8 @@ def _crowded(found: DataFrame, width: int, keep: str) -> DataFrame:
     windows = distinct.select("id", "ctx", "c", "here.*").mapInArrow(work, "id binary, digest binary, off long, c long, doc_id long, uid binary, first long")
     where = F.struct("doc_id", "uid", (F.col("first") + F.col("off")).alias("at"))
     counts = windows.groupBy("digest").agg(F.sum("c").alias("total"), F.min(where).alias("origin")).where("total > 1")
-    repeats = windows.select("id", "digest", "off").join(counts, "digest").groupBy("id").agg(F.collect_list(F.struct("off", "origin")).alias("windows"))
+    # Written, so that the join below is by itself in its stage and a common id can be dealt to many tasks.
+    repeats = cut(windows.select("id", "digest", "off").join(counts, "digest").groupBy("id").agg(F.collect_list(F.struct("off", "origin")).alias("windows")))
     rows = found.select("id", "uid", "doc_id", "first").join(repeats, "id").select("uid", "doc_id", "first", F.explode("windows").alias("w"))
     start = F.col("first") + F.col("w.off")
     if keep == "first":
@@ -290,12 +291,12 @@ def repeated_spans(docs: DataFrame, *, width: int = 200, keep: str = "first", an
     k = anchor or max(1, min(ANCHOR, width // 2))
     rows = _anchor_rows(docs, width, k)
     counts = cut(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-    found = _surroundings(docs, rows.join(counts.where(F.col("df") <= crowd), "h"), width)
-    found = cut(found.repartition("h").sortWithinPartitions("h").mapInArrow(_spans_of(width, keep), "uid binary, start long, end long"))
-    many = counts.where(F.col("df") > crowd)
-    if not many.limit(1).count():
-        return found
-    return found.unionByName(_crowded(_surroundings(docs, rows.join(many, "h"), width), width, keep))
+    found = cut(_surroundings(docs, rows.join(counts, "h"), width))
+    crowded = F.col("df") > crowd
+    spans = cut(found.where(~crowded).repartition("h").sortWithinPartitions("h").mapInArrow(_spans_of(width, keep), "uid binary, start long, end long"))
+    if not counts.where(crowded).limit(1).count():
+        return spans
+    return spans.unionByName(_crowded(found.where(crowded), width, keep))
 
 
 def _spans_of(width: int, keep: str):
