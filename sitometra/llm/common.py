@@ -1,4 +1,4 @@
-"""What the operators share: reading tables, words, and cutting lineage."""
+"""What the operators share: reading tables, words, cutting lineage, and joins on hot keys."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The separators of words, as the contracts state them.
 WORD = r"[^\x20\x09-\x0D]+"
+#: How many keys may be told to all tasks as hot: their bound, whatever the table's size.
+HOT_KEYS = 50_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -17,22 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one in local mode, and an error on a cluster."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table to the shared folder for checkpoints and go on from there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that
-    is unset (a local test) a temporary folder is chosen. A written table outlives
-    lost executors, is compressed, and is read by column; unlike a checkpoint it also
-    leaves the plan's constraints behind, which iterations would pile up. It goes
-    when the driver's JVM ends.
+    A written table outlives lost executors, is compressed, and is read by column;
+    unlike a checkpoint it also leaves the plan's constraints behind, which iterations
+    would pile up. It goes by forget(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
     # The write has a plan of its own, so no later one looks for its shuffles: their files go as it ends.
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
@@ -42,7 +50,43 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     place = context._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of cut() that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(df._written)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def salted(rows: DataFrame, on: str, by: Column, per: int = 1000) -> tuple[DataFrame, DataFrame | None]:
+    """rows with _salt, which deals the rows of a hot key by `by`; and the hot keys: `on`, _salts (how many), None if rows are too few for any.
+
+    A key is hot from `per` rows on, or from so many that there cannot be more than
+    HOT_KEYS of them, so they may be sent to all tasks. rows is read three times: it
+    should be a written table. A null key is not hot and has salt 0.
+    """
+    total = rows.count()
+    if total <= per:
+        return rows.withColumn("_salt", F.lit(0)), None
+    per = max(per, total // HOT_KEYS)
+    hot = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_c")).where(F.col("_c") > per)
+    hot = cut(hot.select(on, F.ceil(F.col("_c") / per).cast("int").alias("_salts")).coalesce(1))
+    salt = F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")
+    return rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_salts"), hot
+
+
+def join_salted(rows: DataFrame, other: DataFrame, on: str, by: Column, how: str = "left", per: int = 1000) -> DataFrame:
+    """rows joined to other on `on`, the rows of a hot key dealt to several tasks by `by`; see salted()."""
+    dealt, hot = salted(rows, on, by, per)
+    if hot is None:
+        return rows.join(other, on, how)
+    other = other.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(other, [on, "_salt"], how).drop("_salt")
 
 
 def n_words(text: Column) -> Column:

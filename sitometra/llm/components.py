@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,20 +21,25 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(both.distinct())
     rounds: list[DataFrame] = []
     while True:
-        up = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("up")).select(F.col("a").alias("node"), "up"))
+        least = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("up")).select(F.col("a").alias("node"), "up"))
+        up = least
         for _ in range(2):
             over = up.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
             up = up.join(over, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up"))
         up = cut(up)
+        forget(least)
         rounds.append(up)
         first = up.select(F.col("node").alias("_n1"), F.col("up").alias("_u1"))
         second = up.select(F.col("node").alias("_n2"), F.col("up").alias("_u2"))
         left = both.where("a <> b").join(first, F.col("a") == F.col("_n1")).join(second, F.col("b") == F.col("_n2"))
-        both = cut(left.where("_u1 <> _u2").select(F.col("_u1").alias("a"), F.col("_u2").alias("b")).distinct())
+        before, both = both, cut(left.where("_u1 <> _u2").select(F.col("_u1").alias("a"), F.col("_u2").alias("b")).distinct())
+        forget(before)
         if not both.limit(1).count():
             break
     labels = rounds[0].select("node", F.col("up").alias("label"))
     for later in rounds[1:]:
         step = later.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
         labels = labels.join(step, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_u", "label").alias("label"))
-    return cut(labels)
+    labels = cut(labels)
+    forget(both, *rounds)
+    return labels

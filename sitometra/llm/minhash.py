@@ -1,19 +1,21 @@
 """Near duplicates by a signature-coordinate inverted join of MinHash signatures.
 
-Every distinct shingle set has a signature of `coordinates` minima, and each
-coordinate with its value is a posting list. Sets that are as similar as the
-threshold agree in at least `matches` coordinates but for a chance of 1e-6. A set
-that shares fewer coordinate values with any other set is out. For the rest, as in
-prefix merging, only the rarest m - matches + 1 of its m shared values are posted,
-which every matching pair has one of in common; the long lists of common values
-are skipped, and counted only between sets that met in a short one. Matches are
-confirmed on the full sets.
-
-No list is expanded into pairs: it links its members to its least one, these links
-form families, and a family's members are compared where they are together. There
-a member is compared with those of other groups only; a family of more than `block`
-sets is dealt to blocks that all know its least set, and then only the groups left
-apart are compared across blocks.
+Every distinct shingle set has a signature of `coordinates` 64-bit values, each made
+of a coordinate's number and its least hash, and every value is a posting list. Sets
+that are as similar as the threshold agree in at least `matches` coordinates but for
+a chance of 1e-6. A set that shares fewer values with any other set is out. For the
+rest, as in prefix merging, only the rarest m - matches + 1 of its m shared values
+are posted, which every matching pair has one of in common; the long lists of common
+values are skipped, and counted only between sets that met in a short one. Matches
+are confirmed on the full sets.
+
+No list is expanded into pairs at once. In the first round a list's members are
+compared with one of them, its pivot; links form components, and lists whose members
+are all in one component are done. In each later round the other lists have twice as
+many pivots, which are compared with the members of other components only. So a list
+of copies costs a comparison for each member, and the last rounds, which make all
+the comparisons that are left, are for lists of sets that are not alike. Pivots and
+members meet in a sort-merge stream, a pivot of many members in several tasks.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_key
+from .common import cut, forget, join_salted, salted, text_key
 from .components import components
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -65,13 +67,16 @@ def _multipliers(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(hashes: np.ndarray, coordinates: int) -> np.ndarray:
-    """The least value of each coordinate's function, 31 bits."""
+    """A value for each coordinate: its number and the least value of its function, mixed to 64 bits.
+
+    A minimum by itself has its upper bits near 0: cut short, it would be alike in unlike sets.
+    """
     a, b = _multipliers(coordinates)
     least = np.full(coordinates, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 4096):
         part = hashes[None, at : at + 4096] * a[:, None] + b[:, None]
         np.minimum(least, part.min(axis=1), out=least)
-    return (least >> np.uint64(33)).astype(np.int32)
+    return _mixed(least + np.arange(1, coordinates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 @cache
@@ -95,147 +100,165 @@ def signatures(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
                 h = shingles(text.as_py(), k)
                 key.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 n.append(len(h))
-                sig.append(signature(h, coordinates) if len(h) else np.zeros(0, np.int32))
-            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *sig]), pa.int32())
+                sig.append(signature(h, coordinates) if len(h) else np.zeros(0, np.int64))
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sig]), pa.int64())
             ends = pa.array(np.cumsum([0, *map(len, sig)]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "text_key", "key", "n", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text").mapInArrow(work, "doc_id long, text_key binary, key binary, n long, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text").mapInArrow(work, "doc_id long, text_key binary, key binary, n long, sig array<long>")
 
 
 def postings(sets: DataFrame, matches: int) -> DataFrame:
     """token, key: each set under the rarest of its shared coordinate values, by prefix filtering."""
-    tokens = sets.select("key", F.posexplode("sig")).select("key", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long")).alias("token"))
+    tokens = sets.select("key", F.explode("sig").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(common, "token").groupBy("key").agg(F.collect_list(F.struct("df", "token")).alias("own")).where(F.size("own") >= matches)
     prefix = F.slice(F.array_sort("own"), F.lit(1), F.size("own") - matches + 1)
     return shared.select("key", F.explode(prefix).alias("t")).select("key", F.col("t.token").alias("token"))
 
 
-def _merge(sets: list[np.ndarray], sigs: np.ndarray, percent: int, matches: int, label: np.ndarray, first: int = 0) -> np.ndarray:
-    """label, merged over all links between two of the sets; pairs under one label are skipped. Items from `first` on are not compared among themselves."""
-    n = len(sets)
-    for i in range(n if not first else first):
-        others = np.flatnonzero(label[max(i + 1, first) :] != label[i]) + max(i + 1, first)
-        if not len(others):
-            continue
-        hits = others[(sigs[others] == sigs[i]).sum(axis=1) >= matches]
-        for j in hits:
-            if label[i] == label[j]:
-                continue
-            a, b = sets[i], sets[j]
-            if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                label[label == label[j]] = label[i]
-    return label
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows that agree in keys, of sorted batches."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_pylist() for k in keys]
-        marks = list(zip(*columns, strict=True))
-        begin = 0
-        for i, mark in enumerate(marks):
-            if mark != now:
-                if i > begin:
-                    held.append(batch.slice(begin, i - begin))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, now, begin = [], mark, i
-        held.append(batch.slice(begin))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def confirm(members: DataFrame, k: int, percent: int, matches: int, block: int) -> DataFrame:
-    """members (family, key, sig, text) to key, label: the least key that links reach inside the family."""
-    size = members.groupBy("family").agg(F.count("*").alias("_size"))
-    members = members.join(size, "family")
-    blocks = F.ceil(F.col("_size") / block).cast("int")
-    dealt = cut(members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("_size"))
-    # A large family's least set is in all blocks.
-    pivots = dealt.where("blocks > 1 and key = family").select(*[c for c in dealt.columns if c != "block"], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    first = dealt.where("blocks = 1 or key <> family").unionByName(pivots.select(*dealt.columns))
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["family", "block"]):
-            key = table.column("key").to_pylist()
-            sets = [shingles(t, k) for t in table.column("text").to_pylist()]
-            found = _merge(sets, np.array(table.column("sig").to_pylist(), np.int32), percent, matches, np.arange(len(key)))
-            least: dict[int, bytes] = {}
-            for name, x in zip(key, found.tolist(), strict=True):
-                least[x] = min(least.get(x, name), name)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array([least[x] for x in found.tolist()], pa.binary()), table.column("family").combine_chunks(), table.column("blocks").combine_chunks()], names=["key", "label", "family", "blocks"])
-
-    schema = "key binary, label binary, family binary, blocks int"
-    own = cut(first.repartition("family", "block").sortWithinPartitions("family", "block").mapInArrow(label, schema)).distinct()
-    large = own.where("blocks > 1")
-    if not large.limit(1).count():
-        return own.select("key", "label")
-
-    # Across blocks: what is not with the least set is sent to every block of its family.
-    texts = dealt.where("blocks > 1").join(large.select("key", "label"), "key")
-    loose = texts.where("label <> family").select("family", "key", "sig", "text", "label", F.col("block").alias("home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    guests = loose.where("home <> block").select("family", "block", "key", "sig", "text", "label", F.lit(0).alias("at_home"))
-    hosts = texts.select("family", "block", "key", "sig", "text", "label", F.lit(1).alias("at_home"))
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["family", "block"]):
-            name = table.column("label").to_pylist()
-            numbers = {x: i for i, x in enumerate(dict.fromkeys(name))}
-            start = np.array([numbers[x] for x in name])
-            at_home = np.array(table.column("at_home").to_pylist())
-            sets = [shingles(t, k) for t in table.column("text").to_pylist()]
-            found = _merge(sets, np.array(table.column("sig").to_pylist(), np.int32), percent, matches, start.copy(), int((at_home == 0).sum()) or len(sets))
-            pairs = {(name[i], name[j]) for i, j in zip(range(len(name)), [int(np.flatnonzero(found == x)[0]) for x in found], strict=True) if name[i] != name[j]}
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
-
-    across = hosts.unionByName(guests).repartition("family", "block").sortWithinPartitions("family", "block", "at_home").mapInArrow(links, "a binary, b binary")
-    inside = large.select(F.col("key").alias("a"), F.col("label").alias("b"))
-    joined = components(across.unionByName(inside))
-    return own.where("blocks = 1").select("key", "label").unionByName(joined.select(F.col("node").alias("key"), "label"))
-
-
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, coordinates: int = 64, block: int = 1500) -> DataFrame:
+def matching(pairs: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in `matches` coordinates or more."""
+    of = lambda name: sets.select(F.col("key").alias(name), F.col("sig").alias(f"sig_{name}"))
+    rows = join_salted(pairs.join(of("a"), "a"), of("b"), "b", F.col("a"), "inner")
+    return rows.where(F.size(F.array_intersect("sig_a", "sig_b")) >= matches).select("a", "b")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are as similar as `percent` says. texts: key, text.
+
+    Rows are sorted by b, its own text first, so that a task holds the set of one b
+    and streams the texts to compare with it; a b of many pairs is in several tasks.
+    """
+    dealt, _ = salted(pairs, "b", F.col("a"))
+    guests = dealt.join(texts.select(F.col("key").alias("a"), "text"), "a").select("b", "_salt", F.lit(1).alias("turn"), "a", "text")
+    hosts = dealt.select("b", "_salt").distinct().join(texts.select(F.col("key").alias("b"), "text"), "b").select("b", "_salt", F.lit(0).alias("turn"), F.col("b").alias("a"), "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
+        for batch in batches:
+            found: list[tuple[bytes, bytes]] = []
+            for b, turn, a, text in zip(*(batch.column(c) for c in ("b", "turn", "a", "text")), strict=True):
+                other = shingles(text.as_py(), k)
+                if not turn.as_py():
+                    own = other
+                elif 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)):
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        found.append((a.as_py(), b.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return hosts.unionByName(guests).repartition("b", "_salt").sortWithinPartitions("b", "_salt", "turn").mapInArrow(work, "a binary, b binary")
+
+
+def _pairs(active: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) to compare in this round, and active with _pivot.
+
+    active: token, key, label. A list's pivots are the first of its members in the
+    order of a hash of their keys, about `pivots` of them; which they are does not
+    differ from list to list, so that members meet the same pivots again and again.
+    """
+    order = F.pmod(F.xxhash64("key", F.lit("order")), F.lit(1 << 40))
+    sizes = active.groupBy("token").agg(F.count("*").alias("_n"), F.min(F.struct(order.alias("o"), "key", "label")).alias("_head"))
+    rows = join_salted(active, sizes, "token", F.col("key"), "inner")
+    if pivots == 1:
+        rows = cut(rows.withColumn("_pivot", F.col("key") == F.col("_head.key")))
+        met = rows.where("not _pivot and label <> _head.label").select(F.col("key").alias("a"), F.col("_head.key").alias("b"))
+    else:
+        rows = cut(rows.withColumn("_pivot", (F.col("key") == F.col("_head.key")) | (order * F.col("_n") < F.lit(float(pivots) * (1 << 40)))).drop("_head"))
+        firsts = rows.where("_pivot").select("token", F.col("key").alias("b"), F.col("label").alias("_label"))
+        met = join_salted(rows, firsts, "token", F.col("key"), "inner")
+        met = met.where("label <> _label and (not _pivot or key < b)").select(F.col("key").alias("a"), "b")
+    return met.distinct(), rows
+
+
+def linked(sets: DataFrame, texts: DataFrame, lists: DataFrame, k: int, percent: int, matches: int) -> DataFrame | None:
+    """key, label: the least key that links reach, of every set that has a link; None if none has. See the module's head."""
+    several = lists.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
+    active = cut(lists.join(several, "token").withColumn("label", F.col("key")))
+    links: DataFrame | None = None
+    labels: DataFrame | None = None
+    pivots = 1
+    while active.limit(1).count():
+        pairs, rows = _pairs(active, pivots)
+        pairs = cut(pairs)
+        near = cut(matching(pairs, sets, matches))
+        new = cut(confirm(near, texts, k, percent))
+        forget(pairs, near)
+        left = rows.where("not _pivot").select("token", "key", "label")
+        if new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
+            left = left.select("token", "key").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
+        # A list of one component has nothing left to find.
+        open_ = left.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("token")
+        before, active = active, cut(join_salted(cut(left), open_, "token", F.col("key"), "inner"))
+        forget(before, rows)
+        pivots *= 2
+    return None if labels is None else labels.select(F.col("node").alias("key"), "label")
+
+
+def _classes(docs: DataFrame, k: int, percent: int, coordinates: int) -> tuple[DataFrame, DataFrame]:
+    """rows: doc_id, text_key, key, n of every row; classes: key, component (least doc_id), label, best (the row that stands for the class)."""
+    matches = least_matches(coordinates, percent / 100)
+    rows = cut(signatures(docs, k, coordinates))
+    # Rows with an id come before those without.
+    here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    sets = cut(rows.where("n > 0").groupBy("key").agg(F.min(here).alias("first"), F.first("sig").alias("sig")))
+    lists = cut(postings(sets, matches))
+    chosen = sets.join(lists.select("key").distinct(), "key", "left_semi").select("key", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("text_key"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    # One row brings the text of each set; rows that repeat it are one again before they are shuffled.
+    texts = own.join(chosen, (own["text_key"] == chosen["text_key"]) & own["doc_id"].eqNullSafe(chosen["_id"])).groupBy("key").agg(F.first("text").alias("text"))
+    texts = cut(texts)
+    labels = linked(sets, texts, lists, k, percent, matches)
+    named = sets.select("key", "first", F.col("key").alias("label"))
+    if labels is not None:
+        named = sets.select("key", "first").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = cut(named)
+    least = named.groupBy("label").agg(F.min("first").alias("best"))
+    classes = cut(join_salted(named, least, "label", F.col("key")).select("key", F.col("best.doc_id").alias("component"), "label", "best"))
+    forget(lists, texts, named)
+    return rows, classes
+
+
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, coordinates: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets
     of k-word shingles; component_id is the least doc_id that links reach. Texts that
     are null, empty or without words have no shingles and are linked with nothing.
-    Rows with a null doc_id take no part: their component_id is null and they are
-    kept. Rows that repeat a doc_id are linked by their own text. Exact copies are one
-    set from the first shuffle on. Columns beside doc_id and text are not read.
+    Rows with a null doc_id are linked by their text as all are; their component_id
+    is null where they reach no id, and then they are kept. Rows that repeat a doc_id
+    are linked by their own text. Exact copies are one set from the first shuffle on.
+    Columns beside doc_id and text are not read. No rows give no rows.
     """
-    matches = least_matches(coordinates, percent / 100)
-    rows = cut(signatures(docs, k, coordinates))
-    usable = rows.where("n > 0 and doc_id is not null")
-    sets = cut(usable.groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("m"), F.first("sig").alias("sig")).select("key", F.col("m.doc_id").alias("first_id"), F.col("m.text_key").alias("text_key"), "sig"))
-    lists = cut(postings(sets, matches))
-    heads = lists.groupBy("token").agg(F.min("key").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = lists.join(heads, "token").where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-    families = components(met).select(F.col("node").alias("key"), F.col("label").alias("family"))
-    chosen = cut(families.join(sets, "key"))
-    # One document brings the text of each set.
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("first_id"), text_key(F.col("text")).alias("text_key"), "text")
-    members = texts.join(chosen, ["first_id", "text_key"]).select("family", "key", "sig", "text")
-    links = cut(confirm(members, k, percent, matches, block))
-    named = links.join(sets.select("key", "first_id"), "key")
-    least = named.groupBy("label").agg(F.min("first_id").alias("component"))
-    classes = named.join(least, "label").select("key", "component")
-    classes = sets.select("key", "first_id").join(classes, "key", "left").select("key", F.coalesce("component", "first_id").alias("component"))
-    out = rows.join(classes, "key", "left")
-    own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, without the documents that near_duplicates() does not keep."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows, classes = _classes(docs, k, percent, coordinates)
+    out = join_salted(rows.select("doc_id", "key", "n"), classes.select("key", "component"), "key", F.col("doc_id"))
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80, coordinates: int = 64) -> DataFrame:
+    """docs, all columns: one row of each group of near duplicates, and all rows without a shingle.
+
+    The row that stays is the one of the least doc_id (null last), then of the least
+    digest of its text; the decision is by row, so one that repeats a doc_id with
+    another text is judged by its own. Of rows that repeat id and text one stays,
+    whichever comes first. Rows without a shingle are no copies of each other.
+    """
+    rows, classes = _classes(docs, k, percent, coordinates)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(*[c.alias(f"_c{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_text_key"))
+    back = [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    # What stays, by id and digest: rows without a shingle, and the first of each class.
+    best = classes.select(F.col("best.doc_id").alias("_i"), F.col("best.text_key").alias("_t"), F.lit(True).alias("_first")).distinct()
+    bare = rows.where("n = 0").select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_t"), F.lit(False).alias("_first")).distinct()
+    stay = best.unionByName(bare)
+    kept = named.join(stay, (F.col("_text_key") == F.col("_t")) & F.col("_id").eqNullSafe(F.col("_i")))
+    again = rows.where("n > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_j"), F.col("text_key").alias("_u"))
+    repeated = F.col("_first") & F.col("_u").isNotNull()
+    kept = kept.join(again, (F.col("_text_key") == F.col("_u")) & F.col("_id").eqNullSafe(F.col("_j")), "left").withColumn("_again", repeated)
+    # Rows that repeat a row that stays are few; only they are brought together.
+    once = kept.where("_again").groupBy("_id", "_text_key").agg(F.first(F.struct(*[f"_c{i}" for i in range(len(columns))])).alias("_row"))
+    return kept.where("not _again").select(*back).unionByName(once.select(*[F.col(f"_row._c{i}").alias(c) for i, c in enumerate(docs.columns)]))

@@ -45,8 +45,7 @@ def brute_components(rows, k, percent):
     return {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if label[j] == label[i]) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("block", [1500, 3])
-def test_near_duplicates(spark, documents, block):
+def test_near_duplicates(spark, documents):
     rng = np.random.default_rng(1)
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").limit(60).collect()]
     base = [f"w{i}" for i in range(120)]
@@ -55,7 +54,7 @@ def test_near_duplicates(spark, documents, block):
         for at in rng.integers(0, 120, 2):
             words[at] = f"z{i}"
         rows.append((10_000 + i, " ".join(words)))
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85, block=block).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85).collect()
     want = brute_components(rows, 3, 85)
     assert {r.doc_id: r.component_id for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(sets(dict(rows)[r.doc_id], 3)) for r in got)
@@ -66,8 +65,39 @@ def test_near_duplicates_odd(spark):
     got = minhash.near_duplicates(docs, k=5, percent=80).collect()
     assert len(got) == len(ODD)
     assert {r.doc_id: r.component_id for r in got if r.doc_id} == {i: i for i in range(1, 8)}
-    assert minhash.keep_one(docs).columns == docs.columns
-    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len(ODD) - 1  # the repeated row goes once
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0 and minhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_by_row(spark):
+    x, y, z = ("".join(f"{c}{i} " for i in range(60)) for c in "xyz")
+    x2, y2 = x + "end", y + "end"
+    rows = [(1, x, "en", "a"), (2, y, "en", "a"), (2, x2, "en", "b"), (3, y2, "en", "b"), (None, x, "en", "a"), (None, z, "en", "a"), (None, z, "en", "a"), (4, z[:-1] + "!", "en", "a"), (5, "", "en", "a"), (5, "", "en", "a")]
+    got = [(r.doc_id, r.text) for r in minhash.keep_one(docs_of(spark, rows)).collect()]
+    assert sorted(got) == sorted([(1, x), (2, y), (4, z[:-1] + "!"), (5, ""), (5, "")])
+    alone = [(r.doc_id, r.text) for r in minhash.keep_one(docs_of(spark, [r for r in rows if r[0] is None])).collect()]
+    assert sorted(t for _, t in alone) == [x, z]
+
+
+def test_many_rounds(spark):
+    """A list of sets that are not alike needs the later rounds: pairs that share a long passage, and are linked two by two."""
+    rows = []
+    for i in range(40):
+        words = [f"p{j}" for j in range(80)] + [f"d{i}_{j}" for j in range(40)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "z"]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(80)} == brute_components(rows, 3, 85)
+
+
+def test_signatures_of_unlike_sets():
+    """All 64 bits of a value count: over unlike sets of any size no two values meet, and their upper bits are even."""
+    rng = np.random.default_rng(12)
+    for size in (30, 250, 3000):
+        sig = np.stack([minhash.signature(rng.integers(0, 1 << 63, size, np.uint64), 64) for _ in range(3000)])
+        assert len(np.unique(sig)) == sig.size
+        upper = np.bincount((sig.ravel().view(np.uint64) >> np.uint64(56)).astype(int), minlength=256)
+        assert abs(upper / upper.mean() - 1).max() < 0.25
 
 
 def test_components(spark):
