@@ -75,7 +75,7 @@ def salted(rows: DataFrame, on: str, by: Column, per: int = 1000) -> tuple[DataF
         return rows.withColumn("_salt", F.lit(0)), None
     per = max(per, total // HOT_KEYS)
     hot = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_c")).where(F.col("_c") > per)
-    hot = cut(hot.select(on, F.ceil(F.col("_c") / per).cast("int").alias("_salts")).coalesce(1))
+    hot = hot.select(on, F.ceil(F.col("_c") / per).cast("int").alias("_salts"))
     salt = F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")
     return rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_salts"), hot
 

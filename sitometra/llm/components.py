@@ -21,13 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(both.distinct())
     rounds: list[DataFrame] = []
     while True:
-        least = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("up")).select(F.col("a").alias("node"), "up"))
-        up = least
+        up = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("up")).select(F.col("a").alias("node"), "up")
         for _ in range(2):
             over = up.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
             up = up.join(over, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up"))
         up = cut(up)
-        forget(least)
         rounds.append(up)
         first = up.select(F.col("node").alias("_n1"), F.col("up").alias("_u1"))
         second = up.select(F.col("node").alias("_n2"), F.col("up").alias("_u2"))

@@ -11,11 +11,11 @@ are confirmed on the full sets.
 
 No list is expanded into pairs at once. In the first round a list's members are
 compared with one of them, its pivot; links form components, and lists whose members
-are all in one component are done. In each later round the other lists have twice as
-many pivots, which are compared with the members of other components only. So a list
-of copies costs a comparison for each member, and the last rounds, which make all
-the comparisons that are left, are for lists of sets that are not alike. Pivots and
-members meet in a sort-merge stream, a pivot of many members in several tasks.
+are all in one component are done. In each later round the other lists have MORE
+times as many pivots, which are compared with the members of other components only.
+So a list of copies costs a comparison for each member, and the last rounds, which
+make all the comparisons that are left, are for lists of sets that are not alike.
+Pivots and members meet in a sorted stream, a pivot of many members in several tasks.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import cut, forget, join_salted, salted, text_key
 from .components import components
 
+#: How much the number of a list's pivots grows from round to round.
+MORE = 32
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -160,14 +162,14 @@ def _pairs(active: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
     """
     order = F.pmod(F.xxhash64("key", F.lit("order")), F.lit(1 << 40))
     sizes = active.groupBy("token").agg(F.count("*").alias("_n"), F.min(F.struct(order.alias("o"), "key", "label")).alias("_head"))
-    rows = join_salted(active, sizes, "token", F.col("key"), "inner")
+    rows = active.join(sizes, "token")
     if pivots == 1:
         rows = cut(rows.withColumn("_pivot", F.col("key") == F.col("_head.key")))
         met = rows.where("not _pivot and label <> _head.label").select(F.col("key").alias("a"), F.col("_head.key").alias("b"))
     else:
         rows = cut(rows.withColumn("_pivot", (F.col("key") == F.col("_head.key")) | (order * F.col("_n") < F.lit(float(pivots) * (1 << 40)))).drop("_head"))
         firsts = rows.where("_pivot").select("token", F.col("key").alias("b"), F.col("label").alias("_label"))
-        met = join_salted(rows, firsts, "token", F.col("key"), "inner")
+        met = rows.join(firsts, "token")
         met = met.where("label <> _label and (not _pivot or key < b)").select(F.col("key").alias("a"), "b")
     return met.distinct(), rows
 
@@ -192,9 +194,9 @@ def linked(sets: DataFrame, texts: DataFrame, lists: DataFrame, k: int, percent:
             left = left.select("token", "key").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
         # A list of one component has nothing left to find.
         open_ = left.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("token")
-        before, active = active, cut(join_salted(cut(left), open_, "token", F.col("key"), "inner"))
+        before, active = active, cut(left.join(open_, "token"))
         forget(before, rows)
-        pivots *= 2
+        pivots *= MORE
     return None if labels is None else labels.select(F.col("node").alias("key"), "label")
 
 
