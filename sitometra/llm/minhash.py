@@ -9,13 +9,13 @@ are posted, which every matching pair has one of in common; the long lists of co
 values are skipped, and counted only between sets that met in a short one. Matches
 are confirmed on the full sets.
 
-No list is expanded into pairs at once. In the first round a list's members are
-compared with one of them, its pivot; links form components, and lists whose members
-are all in one component are done. In each later round the other lists have MORE
-times as many pivots, which are compared with the members of other components only.
-So a list of copies costs a comparison for each member, and the last rounds, which
-make all the comparisons that are left, are for lists of sets that are not alike.
-Pivots and members meet in a sorted stream, a pivot of many members in several tasks.
+No list is expanded into pairs. First a list's members are compared with one of
+them, its pivot; links form components, and lists whose members are all in one
+component are done, as those of copies are. The others are lists of sets that are
+not all alike. Their members meet in blocks of `block` bytes, where an inverted index
+counts what the sets of a block have in common: first every set in one of its lists
+and one block of it; then, in the lists that are open even now, all blocks of a list
+with each other, which is the exact way for what is left.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ from pyspark.sql import functions as F
 from .common import cut, forget, join_salted, salted, text_key
 from .components import components
 
-#: How much the number of a list's pivots grows from round to round.
-MORE = 32
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -126,81 +124,168 @@ def matching(pairs: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
     return rows.where(F.size(F.array_intersect("sig_a", "sig_b")) >= matches).select("a", "b")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as `percent` says. texts: key, text.
+def hashed(texts: DataFrame, k: int) -> DataFrame:
+    """key, n, hashes: the shingles of the texts (key, text), 8 bytes each, ascending."""
 
-    Rows are sorted by b, its own text first, so that a task holds the set of one b
-    and streams the texts to compare with it; a b of many pairs is in several tasks.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                own = [shingles(t.as_py(), k) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(h) for h in own], pa.int64()), pa.array([h.tobytes() for h in own], pa.binary())], names=["key", "n", "hashes"])
+
+    return texts.select("key", "text").mapInArrow(work, "key binary, n long, hashes binary")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are as similar as `percent` says. sets: key, hashes.
+
+    Rows are sorted by b, its own set first, so that a task holds the set of one b
+    and streams the sets to compare with it; a b of many pairs is in several tasks.
     """
     dealt, _ = salted(pairs, "b", F.col("a"))
-    guests = dealt.join(texts.select(F.col("key").alias("a"), "text"), "a").select("b", "_salt", F.lit(1).alias("turn"), "a", "text")
-    hosts = dealt.select("b", "_salt").distinct().join(texts.select(F.col("key").alias("b"), "text"), "b").select("b", "_salt", F.lit(0).alias("turn"), F.col("b").alias("a"), "text")
+    guests = dealt.join(sets.select(F.col("key").alias("a"), "hashes"), "a").select("b", "_salt", F.lit(1).alias("turn"), "a", "hashes")
+    hosts = dealt.select("b", "_salt").distinct().join(sets.select(F.col("key").alias("b"), "hashes"), "b").select("b", "_salt", F.lit(0).alias("turn"), F.col("b").alias("a"), "hashes")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, np.uint64)
         for batch in batches:
             found: list[tuple[bytes, bytes]] = []
-            for b, turn, a, text in zip(*(batch.column(c) for c in ("b", "turn", "a", "text")), strict=True):
-                other = shingles(text.as_py(), k)
-                if not turn.as_py():
+            for b, turn, a, data in zip(*(batch.column(c).to_pylist() for c in ("b", "turn", "a", "hashes")), strict=True):
+                other = np.frombuffer(data, np.uint64)
+                if not turn:
                     own = other
                 elif 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)):
                     both = len(np.intersect1d(own, other, assume_unique=True))
                     if 100 * both >= percent * (len(own) + len(other) - both):
-                        found.append((a.as_py(), b.as_py()))
+                        found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     return hosts.unionByName(guests).repartition("b", "_salt").sortWithinPartitions("b", "_salt", "turn").mapInArrow(work, "a binary, b binary")
 
 
-def _pairs(active: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) to compare in this round, and active with _pivot.
+def links_between(own: list[np.ndarray], label: np.ndarray, percent: int, hosts: int | None = None) -> list[tuple[int, int]]:
+    """Links that join the sets' components; with `hosts` only those of one of the first `hosts` sets with one of the others.
 
-    active: token, key, label. A list's pivots are the first of its members in the
-    order of a hash of their keys, about `pivots` of them; which they are does not
-    differ from list to list, so that members meet the same pivots again and again.
+    label: a number for each set's component so far. What a set has in common with
+    all others is counted by an index of all hashes.
+    """
+    sizes = np.array([len(h) for h in own])
+    every = np.concatenate(own)
+    by = np.argsort(every, kind="stable")
+    owner, every = np.repeat(np.arange(len(own)), sizes)[by], every[by]
+    out = []
+    first = 0 if hosts is None else hosts
+    for i in range(len(own) if hosts is None else hosts):
+        others = label[max(first, i + 1) :] != label[i]
+        if not others.any():
+            continue
+        begin, end = np.searchsorted(every, own[i]), np.searchsorted(every, own[i], side="right")
+        counts = end - begin
+        at = np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+        both = np.bincount(owner[at], minlength=len(own))
+        alike = (100 * both >= percent * (sizes[i] + sizes - both)) & (both > 0)
+        alike[: max(first, i + 1)] = False
+        for j in np.flatnonzero(alike).tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def blocked(members: DataFrame, percent: int, grid: bool) -> DataFrame:
+    """The links (a, b) found between members (token, key, label, hashes, blocks) of a list.
+
+    Each list is dealt to its number of blocks. Without grid a set is compared with
+    its block; with it, every two blocks of a list meet too, in a task of their own.
     """
-    order = F.pmod(F.xxhash64("key", F.lit("order")), F.lit(1 << 40))
-    sizes = active.groupBy("token").agg(F.count("*").alias("_n"), F.min(F.struct(order.alias("o"), "key", "label")).alias("_head"))
-    rows = active.join(sizes, "token")
-    if pivots == 1:
-        rows = cut(rows.withColumn("_pivot", F.col("key") == F.col("_head.key")))
-        met = rows.where("not _pivot and label <> _head.label").select(F.col("key").alias("a"), F.col("_head.key").alias("b"))
+    home = F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int")
+    dealt = members.withColumn("home", home)
+    if grid:
+        dealt = dealt.withColumn("away", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("i", F.least("home", "away")).withColumn("j", F.greatest("home", "away"))
     else:
-        rows = cut(rows.withColumn("_pivot", (F.col("key") == F.col("_head.key")) | (order * F.col("_n") < F.lit(float(pivots) * (1 << 40)))).drop("_head"))
-        firsts = rows.where("_pivot").select("token", F.col("key").alias("b"), F.col("label").alias("_label"))
-        met = rows.join(firsts, "token")
-        met = met.where("label <> _label and (not _pivot or key < b)").select(F.col("key").alias("a"), "b")
-    return met.distinct(), rows
-
-
-def linked(sets: DataFrame, texts: DataFrame, lists: DataFrame, k: int, percent: int, matches: int) -> DataFrame | None:
-    """key, label: the least key that links reach, of every set that has a link; None if none has. See the module's head."""
-    several = lists.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
-    active = cut(lists.join(several, "token").withColumn("label", F.col("key")))
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    pivots = 1
-    while active.limit(1).count():
-        pairs, rows = _pairs(active, pivots)
-        pairs = cut(pairs)
-        near = cut(matching(pairs, sets, matches))
-        new = cut(confirm(near, texts, k, percent))
-        forget(pairs, near)
-        left = rows.where("not _pivot").select("token", "key", "label")
-        if new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
-            left = left.select("token", "key").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
-        # A list of one component has nothing left to find.
-        open_ = left.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("token")
-        before, active = active, cut(left.join(open_, "token"))
-        forget(before, rows)
-        pivots *= MORE
+        dealt = dealt.withColumn("i", F.col("home")).withColumn("j", F.col("home"))
+    keys = ["token", "i", "j"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, keys):
+            key = rows.column("key").to_pylist()
+            numbers: dict[bytes, int] = {}
+            label = np.array([numbers.setdefault(x, len(numbers)) for x in rows.column("label").to_pylist()])
+            if len(numbers) < 2:
+                continue
+            own = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+            i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+            found = links_between(own, label, percent, None if i == j else sum(x == i for x in rows.column("home").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([key[x[n]] for x in found], pa.binary()) for n in (0, 1)], names=["a", "b"])
+
+    return dealt.select(*keys, "home", "key", "label", "hashes").repartition(*keys).sortWithinPartitions(*keys, "home").mapInArrow(work, "a binary, b binary")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that agree in keys, of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        marks = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        begin = 0
+        for i, mark in enumerate(marks):
+            if mark != now:
+                if i > begin:
+                    held.append(batch.slice(begin, i - begin))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, now, begin = [], mark, i
+        if begin < batch.num_rows:
+            held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _relabelled(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows (token, key) of lists of more than one component, with label; and the labels, None without links."""
+    labels = components(links) if links.limit(1).count() else None
+    if labels is None:
+        rows = rows.select("token", "key", F.col("key").alias("label"))
+    else:
+        rows = rows.select("token", "key").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
+    open_ = rows.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("token")
+    return cut(rows.join(open_, "token")), labels
+
+
+def linked(sigs: DataFrame, sets: DataFrame, lists: DataFrame, percent: int, matches: int, block: int) -> DataFrame | None:
+    """key, label: the least key that links reach, of every set that has a link; None if none has. See the module's head.
+
+    sigs: key, sig. sets: key, n, hashes. lists: token, key.
+    """
+    sizes = lists.groupBy("token").agg(F.count("*").alias("_n"), F.min("key").alias("head")).where("_n > 1").drop("_n")
+    rows = cut(lists.join(sizes, "token"))
+    pairs = cut(rows.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct())
+    near = cut(matching(pairs, sigs, matches))
+    links = cut(confirm(near, sets, percent))
+    # Pivots have met all members of their lists.
+    open_, labels = _relabelled(rows.where("key <> head"), links)
+    forget(pairs, near, rows)
+    for grid in (False, True):
+        if not open_.limit(1).count():
+            break
+        weighed = open_.join(sets.select("key", "n"), "key")
+        blocks = weighed.groupBy("token").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") * 8 / block)).cast("int").alias("blocks"), F.count("*").alias("_n"))
+        members = open_.join(blocks, "token")
+        if not grid:
+            # Each set in its longest list only.
+            best = F.max(F.struct("_n", "token", "blocks", "label")).alias("m")
+            members = members.groupBy("key").agg(best).select("key", "m.token", "m.blocks", "m.label")
+        links = links.unionByName(cut(blocked(members.join(sets.select("key", "hashes"), "key"), percent, grid)))
+        if grid:
+            labels = components(links) if links.limit(1).count() else None
+        else:
+            open_, labels = _relabelled(open_, links)
     return None if labels is None else labels.select(F.col("node").alias("key"), "label")
 
 
-def _classes(docs: DataFrame, k: int, percent: int, coordinates: int) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, k: int, percent: int, coordinates: int, block: int) -> tuple[DataFrame, DataFrame]:
     """rows: doc_id, text_key, key, n of every row; classes: key, component (least doc_id), label, best (the row that stands for the class)."""
     matches = least_matches(coordinates, percent / 100)
     rows = cut(signatures(docs, k, coordinates))
@@ -212,8 +297,8 @@ def _classes(docs: DataFrame, k: int, percent: int, coordinates: int) -> tuple[D
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
     # One row brings the text of each set; rows that repeat it are one again before they are shuffled.
     texts = own.join(chosen, (own["text_key"] == chosen["text_key"]) & own["doc_id"].eqNullSafe(chosen["_id"])).groupBy("key").agg(F.first("text").alias("text"))
-    texts = cut(texts)
-    labels = linked(sets, texts, lists, k, percent, matches)
+    texts = cut(hashed(texts, k))
+    labels = linked(sets, texts, lists, percent, matches, block)
     named = sets.select("key", "first", F.col("key").alias("label"))
     if labels is not None:
         named = sets.select("key", "first").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -224,7 +309,7 @@ def _classes(docs: DataFrame, k: int, percent: int, coordinates: int) -> tuple[D
     return rows, classes
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, coordinates: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, coordinates: int = 64, block: int = 2 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets
@@ -235,13 +320,13 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, coordinat
     are linked by their own text. Exact copies are one set from the first shuffle on.
     Columns beside doc_id and text are not read. No rows give no rows.
     """
-    rows, classes = _classes(docs, k, percent, coordinates)
+    rows, classes = _classes(docs, k, percent, coordinates, block)
     out = join_salted(rows.select("doc_id", "key", "n"), classes.select("key", "component"), "key", F.col("doc_id"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80, coordinates: int = 64) -> DataFrame:
+def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80, coordinates: int = 64, block: int = 2 << 20) -> DataFrame:
     """docs, all columns: one row of each group of near duplicates, and all rows without a shingle.
 
     The row that stays is the one of the least doc_id (null last), then of the least
@@ -249,7 +334,7 @@ def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80, coordinates: int
     another text is judged by its own. Of rows that repeat id and text one stays,
     whichever comes first. Rows without a shingle are no copies of each other.
     """
-    rows, classes = _classes(docs, k, percent, coordinates)
+    rows, classes = _classes(docs, k, percent, coordinates, block)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     named = docs.select(*[c.alias(f"_c{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_text_key"))
     back = [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)]

@@ -80,13 +80,14 @@ def test_keep_one_by_row(spark):
     assert sorted(t for _, t in alone) == [x, z]
 
 
-def test_many_rounds(spark):
-    """A list of sets that are not alike needs the later rounds: pairs that share a long passage, and are linked two by two."""
+@pytest.mark.parametrize("block", [2 << 20, 8000])
+def test_open_lists(spark, block):
+    """Lists of sets that are not alike go by blocks: pairs that share a long passage, and are linked two by two."""
     rows = []
     for i in range(40):
         words = [f"p{j}" for j in range(80)] + [f"d{i}_{j}" for j in range(40)]
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "z"]))]
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85, block=block).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(80)} == brute_components(rows, 3, 85)
 
 
