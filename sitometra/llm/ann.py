@@ -162,19 +162,41 @@ def usable(embeddings: DataFrame, vector: str, key: str) -> DataFrame:
 
 
 def _classes(rows: DataFrame, most: int) -> DataFrame:
-    """One row per distinct vector with its `most` least keys, salted so that a very common vector is many tasks."""
+    """One row per distinct vector with its `most` least keys.
+
+    A very common vector's keys are ranked in salted parts, and the parts' least ones
+    again, so that no list of all of them is ever made.
+    """
     pairs = rows.select("key", "v", "dim").distinct()
+    parts = cut(pairs.groupBy("v", "dim").agg(F.ceil(F.count("*") / (64 * most)).alias("parts"), F.min("key").alias("least")))
+    common = parts.where("parts > 1")
+    alone = parts.where("parts = 1").select("v", "dim")
+    own = pairs.join(alone, ["v", "dim"]).groupBy("v", "dim").agg(F.sort_array(F.collect_list("key")).alias("own")).select("v", "dim", F.slice("own", 1, most).alias("own"))
+    if not common.limit(1).count():
+        return own
+    shared = pairs.join(common.select("v", "dim", "parts"), ["v", "dim"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("parts")))
+    for by in (["v", "dim", "salt"], ["v", "dim"]):
+        first = F.row_number().over(Window.partitionBy(*by).orderBy("key"))
+        shared = shared.withColumn("_rank", first).where(F.col("_rank") <= most)
+    return own.unionByName(shared.groupBy("v", "dim").agg(F.sort_array(F.collect_list("key")).alias("own")))
+
 
-    def least(df: DataFrame, by: list[str], value: str) -> DataFrame:
-        own = df.groupBy(*by).agg(F.collect_list(value).alias("own"))
-        return own.withColumn("own", F.slice(F.sort_array(F.flatten("own") if value == "own" else F.col("own")), 1, most))
+def lift(exact: np.ndarray) -> np.ndarray:
+    """The vectors as float32, all of one length by one more component.
 
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
-    first = least(salted, ["v", "dim", "salt"], "key")
-    return least(first, ["v", "dim"], "own")
+    That length is that of the longest but for a hundredth of them: a few very long
+    vectors would leave the others no digits. Those are scaled to it; they are found
+    by their direction, and scores are of the vectors as they were.
+    """
+    unit = exact / np.abs(exact).max(axis=1, keepdims=True)
+    length = np.sqrt((unit * unit).sum(axis=1)) * np.abs(exact).max(axis=1)
+    full = np.sort(length)[int(0.99 * (len(length) - 1))]
+    inside = exact * (np.minimum(1.0, full / length) / full)[:, None]
+    rest = np.maximum(1 - (inside * inside).sum(axis=1), 0)
+    return np.concatenate([inside, np.sqrt(rest)[:, None]], axis=1).astype(np.float32)
 
 
-def index(classes: DataFrame, shards: int, degree: int = 16, breadth: int = 80) -> DataFrame:
+def index(classes: DataFrame, shards: int, degree: int = 16, breadth: int = 64) -> DataFrame:
     """One row per dimension and shard: the graph's flat arrays, the original vectors and their keys."""
     schema = "dim int, shard int, n int, top int, vectors binary, height binary, levels array<binary>, degree array<int>, exact binary, own array<array<long>>"
 
@@ -183,11 +205,7 @@ def index(classes: DataFrame, shards: int, degree: int = 16, breadth: int = 80)
         lead = np.array([int(x[0]) for x in part["own"]])
         by = np.argsort(lead, kind="stable")
         exact = exact[by]
-        scale = np.abs(exact).max()
-        unit = exact / scale
-        square = (unit * unit).sum(axis=1)
-        lifted = np.concatenate([unit, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], axis=1).astype(np.float32)
-        row = build(lifted, degree, breadth).pack()
+        row = build(lift(exact), degree, breadth).pack()
         row |= {"dim": key[0], "shard": key[1], "exact": exact.tobytes(), "own": [[int(x) for x in part["own"].iloc[i]] for i in by]}
         return pd.DataFrame([row])
 
@@ -195,47 +213,56 @@ def index(classes: DataFrame, shards: int, degree: int = 16, breadth: int = 80)
     return cut(dealt.groupBy("dim", "shard").applyInPandas(make, schema))
 
 
-def nearest(embeddings: DataFrame, *, vector: str = "embedding", key: str = "vec_id", every: int = 20, k: int = 20, shards: int = 6, shard_rows: int = 100_000, degree: int = 16, breadth: int = 80, search: int = 160, query_block: int = 4000) -> DataFrame:
+def nearest(embeddings: DataFrame, *, vector: str = "embedding", key: str = "vec_id", every: int = 20, k: int = 20, shards: int = 6, shard_rows: int = 3000, degree: int = 16, breadth: int = 64, search: int = 240) -> DataFrame:
     """query_id, rank, vec_id, score: of every row whose key is divisible by `every` the k nearest other rows by inner product.
 
     All rows that take part are indexed, equal vectors as one. A shard holds up to
-    about shard_rows of them; all shards are searched, in blocks of queries, and
-    their best merged. Vectors of other lengths are searched among their own. A key
-    that repeats with another vector is another candidate; as a query, the row with
-    the least vector counts. An empty table gives no rows.
+    about shard_rows of them; every query visits every shard, and their best are
+    merged. A shard's graph is sent once, to the task that streams the queries past
+    it. Vectors of other lengths are searched among their own. A key that repeats with
+    another vector is another candidate; as a query, the row with the least vector
+    counts. Rows without a usable vector or with a null key take no part. Columns
+    beside the key and the vector are not read. An empty table gives no rows.
     """
     rows = cut(usable(embeddings, vector, key))
     total = rows.count()
-    classes = _classes(rows, k + 1)
-    graphs = index(classes, max(shards, -(-total // shard_rows)), degree, breadth)
+    graphs = index(_classes(rows, k + 1), max(shards, -(-total // shard_rows)), degree, breadth)
     asked = rows.where(F.col("key") % every == 0).groupBy("key").agg(F.min(F.struct("v", "dim")).alias("m")).select("key", "m.v", "m.dim")
-    blocks = max(1, -(-total // (every * query_block)))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    places = graphs.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"))
-    asked = asked.join(places, "dim")
-    tables = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def look(key_: tuple, graph_rows: pa.Table, part: pa.Table) -> pa.Table:
-        names, types = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
-        if not graph_rows.num_rows or not part.num_rows:
-            return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
-        row = graph_rows.to_pylist()[0]
-        graph, own = Graph.unpack(row), row["own"]
-        exact = np.frombuffer(row["exact"], np.float64).reshape(row["n"], -1)
-        ids = part.column("key").to_pylist()
-        queries = np.array(part.column("v").to_pylist(), np.float64)
-        out: list[tuple[int, int, float]] = []
-        for at in range(0, len(ids), TOGETHER):
-            q = queries[at : at + TOGETHER]
-            lifted = np.concatenate([q / np.abs(q).max(axis=1, keepdims=True), np.zeros((len(q), 1))], axis=1).astype(np.float32)
-            found, _ = graph.search(lifted, max(search, k + 1))
-            for i, hits in enumerate(found):
-                hits = hits[hits >= 0]
-                score = (exact[hits] * q[i]).sum(axis=1)
-                every_ = sorted((-s, v) for s, h in zip(score.tolist(), hits.tolist(), strict=True) for v in own[h] if v != ids[at + i])
-                out += [(ids[at + i], v, -s) for s, v in every_[:k]]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=names)
-
-    found = tables.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInArrow(look, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")).cast("int"))
+    asked = asked.join(graphs.select("dim", "shard"), "dim")
+    # Graphs come before the queries of their shard.
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in graphs.schema if f.name not in ("dim", "shard")]
+    guests = asked.select("dim", "shard", F.lit(1).alias("turn"), *empty, "key", "v")
+    hosts = graphs.select("dim", "shard", F.lit(0).alias("turn"), *[f.name for f in graphs.schema if f.name not in ("dim", "shard")], F.lit(None).cast("long").alias("key"), F.lit(None).cast("array<double>").alias("v"))
+    names, types = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = own = exact = None
+        for batch in batches:
+            turn = batch.column("turn").to_pylist()
+            at = 0
+            while at < len(turn):
+                if not turn[at]:
+                    row = batch.slice(at, 1).to_pylist()[0]
+                    graph, own = Graph.unpack(row), row["own"]
+                    exact = np.frombuffer(row["exact"], np.float64).reshape(row["n"], -1)
+                    at += 1
+                    continue
+                end = at
+                while end < len(turn) and turn[end] and end - at < TOGETHER:
+                    end += 1
+                ids = batch.column("key").slice(at, end - at).to_pylist()
+                q = np.array(batch.column("v").slice(at, end - at).to_pylist(), np.float64)
+                at = end
+                lifted = np.concatenate([q / np.abs(q).max(axis=1, keepdims=True), np.zeros((len(q), 1))], axis=1).astype(np.float32)
+                found, _ = graph.search(lifted, max(search, k + 1))
+                out: list[tuple[int, int, float]] = []
+                for i, hits in enumerate(found):
+                    hits = hits[hits >= 0]
+                    score = (exact[hits] * q[i]).sum(axis=1)
+                    each = sorted((-s, v) for s, h in zip(score.tolist(), hits.tolist(), strict=True) for v in own[h] if v != ids[i])
+                    out += [(ids[i], v, -s) for s, v in each[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(types)], names=names)
+
+    near = hosts.unionByName(guests).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "turn").mapInArrow(look, "query_id long, vec_id long, score double")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

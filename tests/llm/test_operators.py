@@ -255,6 +255,21 @@ def test_neighbours(spark):
         hit += len(set(want) & {r.vec_id for r in own})
     assert hit >= 0.9 * 20 * 30
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [2.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0, 1.0]), (4, [5.0]), *[(100 + i, [3.0, 3.0]) for i in range(3000)]], "vec_id long, embedding array<float>")
+    got = ann.nearest(twice, every=10, k=2).where("query_id = 20").orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(100, 3.0), (101, 3.0)]
+
+
+def test_recall_of_a_full_shard():
+    """Vectors without clusters, as many as nearest() puts into a shard, one of them much longer than the others."""
+    rng = np.random.default_rng(16)
+    v = rng.normal(size=(3000, 64))
+    v[5] *= 1000
+    graph = ann.build(ann.lift(v), 16, 64)
+    q = rng.normal(size=(64, 64))
+    found, _ = graph.search(np.concatenate([q, np.zeros((64, 1))], axis=1).astype(np.float32), 240)
+    best = np.argsort(-(q @ v.T), axis=1)[:, :20]
+    assert sum(len(set(a) & set(b)) for a, b in zip(best.tolist(), found.tolist(), strict=True)) >= 0.9 * 20 * 64
 
 
 def test_packing(spark, documents):
