@@ -81,17 +81,39 @@ def is_yes(c: Column, strip: bool = False) -> Column:
     return F.coalesce(F.lower(F.trim(c) if strip else c) == "yes", F.lit(False))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<word, pos>> of all matches, pos from 0: sums of the gaps and matches before."""
-    words, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,pos:int>>").alias("out"))
-    pairs = F.arrays_zip(words.alias("word"), F.slice(gaps, F.lit(1), F.size(words)).alias("gap"))
+def matches(text: Column, pattern: str, groups: dict[str, int] | None = None) -> Column:
+    """array<struct<word, pos, ...>> of all matches, pos from 0, with the named groups of the pattern.
 
-    def step(s: Column, x: Column) -> Column:
-        pos = s["at"] + F.length(x["gap"])
-        return F.struct((pos + F.length(x["word"])).alias("at"), F.concat(s["out"], F.array(F.struct(x["word"].alias("word"), pos.alias("pos")))).alias("out"))
+    One replacement writes each match as a record of the gap before it, itself and its
+    groups, so the text is gone through once; the two marks of fields and records
+    count as blanks in the text.
+    """
+    groups = groups or {}
+    fields = ["gap", "word", *groups]
+    record = "\x01".join(f"${n}" for n in [1, 2, *[g + 2 for g in groups.values()]]) + "\x02"
+    written = F.split(F.regexp_replace(F.translate(text, "\x01\x02", "  "), f"(?s)\\G(.*?)({pattern})", record), "\x02", -1)
+    # What is after the last match is no record.
+    rows = F.transform(F.filter(written, lambda r: r.contains("\x01")), lambda r: F.split(r, "\x01", -1))
+    kind = "".join(f",{g}:string" for g in groups)
+    state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<word:string,pos:int{kind}>>").alias("out"))
 
-    return F.aggregate(pairs, state, step, lambda s: s["out"])
+    def step(s: Column, r: Column) -> Column:
+        part = {f: F.get(r, F.lit(i)) for i, f in enumerate(fields)}
+        pos = s["at"] + F.length(part["gap"])
+        found = F.struct(part["word"].alias("word"), pos.alias("pos"), *[part[g].alias(g) for g in groups])
+        return F.struct((pos + F.length(part["word"])).alias("at"), F.concat(s["out"], F.array(found)).alias("out"))
+
+    return F.aggregate(rows, state, step, lambda s: s["out"])
+
+
+def token_starts(text: Column) -> Column:
+    """Where each token begins, from 0."""
+    return F.transform(matches(text, r"(?U)\S+"), lambda m: m["pos"])
+
+
+def token_of(starts: Column, pos: Column) -> Column:
+    """Number, from 0, of the last token that begins at pos or before, by the places where tokens begin."""
+    return F.greatest(F.lit(0), F.size(F.filter(starts, lambda s: s <= pos)) - 1)
 
 
 def tokens(text: Column) -> Column:
@@ -99,7 +121,7 @@ def tokens(text: Column) -> Column:
 
 
 def token_at(text: Column, pos: Column) -> Column:
-    """Number, from 0, of the last token that begins at pos or before, within bounds."""
+    """The same for one place, without an array: counted in the text up to it."""
     return F.greatest(F.lit(0), F.regexp_count(F.substr(text, F.lit(1), pos + 1), F.lit(r"(?U)\S+")) - 1)
 
 

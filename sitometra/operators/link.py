@@ -1,7 +1,7 @@
 """Linking grain, quantity and price words inside a block.
 
-A block's events are arrays; pairing explodes them within the token window, so
-nothing is shuffled before ranking, and ranking is by block.
+A block's events are arrays; pairing explodes them within the token window. Blocks
+are dealt by mention before that, so their candidates are ranked where they are made.
 """
 
 from __future__ import annotations
@@ -27,33 +27,36 @@ def amount_patterns(stems: tuple[str, ...]) -> list[tuple[str, int | None, int,
     return [(f"(?U){_NUMBER}{_GAP}{w}", 1, 2, 3), (f"(?U){w}{_GAP}{_NUMBER}", 2, 3, 1), (f"(?U){_FRACTION}{_GAP}{w}", None, 1, 2), (f"(?U){w}{_GAP}{_FRACTION}", None, 2, 1)]
 
 
-def amounts(norm: Column, stems: tuple[str, ...]) -> Column:
-    """array<struct<tok, value, word>>: numbers beside one of the words. A number may serve twice."""
+def amounts(norm: Column, stems: tuple[str, ...], starts: Column) -> Column:
+    """array<struct<tok, value, word>>: numbers beside one of the words. A number may serve twice. starts: of the tokens."""
     out = []
     for pattern, whole, fractions, word in amount_patterns(stems):
-        group = lambda g, p=pattern: F.regexp_extract_all(norm, F.lit(p), F.lit(g))
-        parts = [text.matches(norm, pattern).alias("m"), group(fractions).alias("f"), group(word).alias("w")]
-        if whole:
-            parts.append(group(whole).alias("n"))
+        found = text.matches(norm, pattern, {"f": fractions, "w": word} | ({"n": whole} if whole else {}))
 
         def event(x: Column, whole: int | None = whole) -> Column:
             value = text.parse_number(x["n"] if whole else None, x["f"])
-            return F.struct(text.token_at(norm, x["m"]["pos"]).alias("tok"), value.alias("value"), x["w"].alias("word"))
+            return F.struct(text.token_of(starts, x["pos"]).alias("tok"), value.alias("value"), x["w"].alias("word"))
 
-        zipped = F.arrays_zip(*parts)
-        out.append(F.transform(zipped, (lambda f: lambda x: f(x))(event)))
-    return F.concat(*out)
+        out.append(F.transform(found, (lambda f: lambda x: f(x))(event)))
+    # Most texts have no such word.
+    return F.when(norm.rlike("|".join(stems)), F.concat(*out)).otherwise(F.array().cast("array<struct<tok:int,value:double,word:string>>"))
 
 
-def words(norm: Column, pattern: str) -> Column:
+def words(norm: Column, pattern: str, starts: Column) -> Column:
     """array<struct<tok, word>> of a pattern's matches."""
-    return F.transform(text.matches(norm, pattern), lambda m: F.struct(text.token_at(norm, m["pos"]).alias("tok"), m["word"].alias("word")))
+    return F.transform(text.matches(norm, pattern), lambda m: F.struct(text.token_of(starts, m["pos"]).alias("tok"), m["word"].alias("word")))
 
 
 def events(df: DataFrame, norm: str = "value_norm", lexicon: Lexicon = LinkOptions().lexicon) -> DataFrame:
     """df with grains, qtys, prices and pricewords."""
-    n = F.col(norm)
-    return df.withColumns({"grains": words(n, Lexicon.word(lexicon.grain)), "qtys": amounts(n, NEAR_UNIT), "prices": amounts(n, MONEY), "pricewords": words(n, lexicon.priceword)})
+    n, starts = F.col(norm), F.col("_starts")
+    rows = df.withColumn("_starts", text.token_starts(n))
+    return rows.withColumns({"grains": words(n, Lexicon.word(lexicon.grain), starts), "qtys": amounts(n, NEAR_UNIT, starts), "prices": amounts(n, MONEY, starts), "pricewords": words(n, lexicon.priceword, starts)}).drop("_starts")
+
+
+def deal(df: DataFrame, mention: list[str]) -> DataFrame:
+    """df in as many parts as a shuffle has: by their bytes, which are few for the work on them, they would be made fewer."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *mention)
 
 
 def candidates(df: DataFrame, window: int = 80, near: int = 8, line_penalty: str = "parity") -> DataFrame:
@@ -201,5 +204,7 @@ def find_mentions(blocks: DataFrame, options: LinkOptions = LinkOptions()) -> Da
 def link(found: DataFrame, options: LinkOptions = LinkOptions()) -> DataFrame:
     """Linked rows from find_mentions()."""
     mention = ["DDB_ID", "path", "Mention_ID"]
+    # Dealt by mention while they are blocks, so that no candidate is shuffled for its ranking.
+    found = deal(found, mention)
     rows = rank(candidates(found, options.window_tokens, options.priceword_near, options.line_penalty), mention, options.min_score, options.ambiguity_delta)
     return linked_rows(emit(with_primary(rows, mention, options), options), options)

@@ -425,101 +425,149 @@ def tokens_positions(spark, sf_dir):
     return rows.select("doc_id", F.size("w").alias("n_tokens"), F.element_at("w", 1).alias("first_token"), F.element_at("w", -1).alias("last_token"), text.token_at(F.col("text"), F.length(F.rtrim("text")) - 1).alias("last_index"))
 
 
-# --- linking: each order is a block, τιμη πυρου αρταβων <1 to 50> δραχμαι <price>
+# --- linking: each order is a block of one of sixteen kinds. The SQL takes the block's
+# words one by one, finds the events by what stands beside what, and computes the rest.
 
 _QTY, _PRICE = "(1 + o_orderkey % 50)", "floor(o_totalprice)"
-_PAIRS = """c(rk, is_num_price, has_qty, score) AS (VALUES (1, false, true, 81.847348), (2, true, true, 77.789586), (3, false, false, 62.578907), (4, true, false, 58.521145))"""
+_Q, _P2 = "1 + o_orderkey % 50", "cast(floor(o_totalprice) as bigint)"
+_KINDS = (
+    f"'τιμη πυρου αρταβων ', {_Q}, ' δραχμαι ', {_P2}",
+    f"'πυρου αρταβων ', {_Q}, ' 1/2 δραχμαι ', {_P2}, ' 3/4'",
+    f"'τιμη σιτου ', {_Q}, ' αρταβαι ', {_P2}, ' δραχμων'",
+    f"'πυρου αρταβων ', {_Q}, ' δραχμαι ', {_P2}, ' κριθης αρταβων ', 3 + o_orderkey % 7, ' δραχμαι ', {_P2}, ' 1/4'",
+    f"'πυρου αρταβων ', {_Q}, repeat(' λογος', cast(70 + o_orderkey % 20 as int)), ' οβολοι ', {_P2}, ' δραχμαι 7'",
+    f"'πυρου κριθης αρταβων ', {_Q}, ' τιμη δραχμαι ', {_P2}",
+    f"'σιτου 1/2 αρταβης τιμη δραχμαι 3/4'",
+    f"'κριθης 5 μετρα λογος ', {_P2}, ' δραχμαι σιτου ολυρας αρταβαι ', {_Q}, ' 1/3 οβολων 2 χαλκοι 4'",
+    f"'λογος πυρου ', {_Q}, ' 2/3 αρταβων ', {_P2}, ' 1/6 δραχμων τιμη'",
+    f"'ταλαντα ', {_Q}, repeat(' λογος', cast(o_orderkey % 30 as int)), ' ζεας χοινικες 4 τιμη', repeat(' λογος', cast(o_orderkey % 11 as int)), ' δραχμαι ', {_P2}",
+    f"'λογος αρταβων ', {_Q}, ' δραχμαι ', {_P2}",
+    f"'πυρου αρταβων ', {_Q}",
+    f"'πυρου λογος τιμη δραχμαι ', {_P2}",
+    f"'σιτου πυρου κριθης δραχμαι ', {_P2}, ' αρταβων ', {_Q}, repeat(' λογος', cast(o_orderkey % 9 as int)), ' οβολοι 3 αρταβαι 2'",
+    f"'τιμη αλευρου μετρα ', {_Q}, ' χοινικες ', {_Q}, ' δραχμαι ', {_P2}, ' δραχμαι ', {_P2}",
+    f"{_P2}, ' δραχμαι πυρου ', {_Q}, ' αρταβαι ', {_P2}, ' οβολοι τιμη κριθης ', {_Q}, ' αρταβαι'",
+)
+_BLOCK = "CASE o_orderkey % 16 " + " ".join(f"WHEN {i} THEN concat({k})" for i, k in enumerate(_KINDS)) + " END"
+#: Spellings that normalizing takes back.
+_ACCENTS = (("πυρου", "πυροῦ"), ("αρταβων", "ἈΡΤΑΒΩ͂Ν"), ("δραχμαι", "δραχμαὶ"), ("τιμη", "τιμὴ"))
+
+
+def _class(column: str) -> str:
+    starts = lambda stems: " OR ".join(f"starts_with({column}, '{x}')" for x in stems)
+    return f"CASE WHEN regexp_full_match({column}, '[0-9]+') THEN 'n' WHEN regexp_full_match({column}, '[0-9]+/[0-9]+') THEN 'f' WHEN {starts(('αρταβ', 'χοιν', 'μετρ'))} THEN 'qty' WHEN {starts(('δραχμ', 'οβολ', 'ταλαντ', 'χαλκ'))} THEN 'price' WHEN {starts(('σιτ', 'πυρ', 'κριθ', 'ζεα', 'ολυρ', 'αλευρ'))} THEN 'grain' WHEN {column} = 'τιμη' THEN 'priceword' ELSE '' END"
+
+
+_EVENTS = f"""b AS (SELECT o_orderkey, string_split(replace({_BLOCK}, 'ς', 'σ'), ' ') AS ws FROM orders),
+t0 AS (SELECT o_orderkey, unnest(ws) AS w, (generate_subscripts(ws, 1) - 1)::INT AS i FROM b),
+t1 AS (SELECT *, {_class('w')} AS c, CASE WHEN regexp_full_match(w, '[0-9]+(/[0-9]+)?') THEN split_part(w, '/', 1)::DOUBLE END AS a, CASE WHEN contains(w, '/') THEN split_part(w, '/', 2)::DOUBLE END AS d FROM t0),
+t AS (SELECT *, a / coalesce(d, 1) AS v, lag(c) OVER o AS c_, lead(c) OVER o AS c1, lead(c, 2) OVER o AS c2, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(a) OVER o AS a1, lead(a / coalesce(d, 1)) OVER o AS v1, lead(a / coalesce(d, 1), 2) OVER o AS v2
+ FROM t1 WINDOW o AS (PARTITION BY o_orderkey ORDER BY i)),
+ev AS (SELECT o_orderkey, c1 AS kind, 1 AS pat, i AS tok, v AS value, w1 AS word FROM t WHERE c = 'n' AND c1 IN ('qty', 'price') UNION ALL SELECT o_orderkey, c2, 1, i, v + v1, w2 FROM t WHERE c = 'n' AND c1 = 'f' AND c2 IN ('qty', 'price')
+ UNION ALL SELECT o_orderkey, c1, 1, i, d, w1 FROM t WHERE c = 'f' AND coalesce(c_, '') <> 'n' AND c1 IN ('qty', 'price')
+ UNION ALL SELECT o_orderkey, c, 2, i, CASE c2 WHEN 'f' THEN v1 + v2 ELSE v1 END, w FROM t WHERE c IN ('qty', 'price') AND c1 = 'n' UNION ALL SELECT o_orderkey, c, 2, i, a1, w FROM t WHERE c IN ('qty', 'price') AND c1 = 'f'
+ UNION ALL SELECT o_orderkey, c1, 3, i, v, w1 FROM t WHERE c = 'f' AND c1 IN ('qty', 'price') UNION ALL SELECT o_orderkey, c, 4, i, v1, w FROM t WHERE c IN ('qty', 'price') AND c1 = 'f'
+ UNION ALL SELECT o_orderkey, c, 0, i, NULL, w FROM t WHERE c IN ('grain', 'priceword'))"""
+_CANDS = f"""{_EVENTS}, gr AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY tok) AS g FROM ev WHERE kind = 'grain'),
+pr AS (SELECT gr.o_orderkey, g, gr.tok AS gt, gr.word AS grain, p.tok AS pt, p.value AS pv, p.word AS pw, row_number() OVER w AS pi, count(*) OVER (PARTITION BY gr.o_orderkey, g) AS kp FROM gr JOIN ev p ON p.o_orderkey = gr.o_orderkey AND p.kind = 'price' AND abs(p.tok - gr.tok) <= 80 WINDOW w AS (PARTITION BY gr.o_orderkey, g ORDER BY p.pat, p.tok)),
+qu AS (SELECT gr.o_orderkey, g, q.tok AS qt, q.value AS qv, q.word AS qw, row_number() OVER w AS qi FROM gr JOIN ev q ON q.o_orderkey = gr.o_orderkey AND q.kind = 'qty' AND abs(q.tok - gr.tok) <= 80 WINDOW w AS (PARTITION BY gr.o_orderkey, g ORDER BY q.pat, q.tok)),
+kq AS (SELECT o_orderkey, g, count(*) AS kq FROM qu GROUP BY ALL), qs AS (SELECT * FROM qu UNION ALL SELECT o_orderkey, g, NULL, NULL, NULL, 1000 FROM gr),
+wd AS (SELECT p.o_orderkey, p.tok AS pt, min(abs(p.tok - x.tok)) AS dpw FROM ev p JOIN ev x ON x.o_orderkey = p.o_orderkey AND x.kind = 'priceword' WHERE p.kind = 'price' GROUP BY ALL),
+c0 AS (SELECT pr.*, qt, qv, qw, qi, abs(gt - pr.pt) AS dgp, abs(gt - qt) AS dgq, dpw, least(gt, pr.pt, coalesce(qt, gt)) AS low, greatest(gt, pr.pt, coalesce(qt, gt)) AS high, coalesce(kq, 0) AS kq
+ FROM pr JOIN qs ON qs.o_orderkey = pr.o_orderkey AND qs.g = pr.g LEFT JOIN kq ON kq.o_orderkey = pr.o_orderkey AND kq.g = pr.g LEFT JOIN wd ON wd.o_orderkey = pr.o_orderkey AND wd.pt = pr.pt),
+c AS (SELECT *, high - low AS span, greatest(0, least(100, 10 + 40 * exp(-dgp / 12.0::DOUBLE) + coalesce(15 * exp(-dgq / 20.0::DOUBLE), 0) + coalesce(10 * exp(-dpw / 8.0::DOUBLE), 0) + 15 * exp(-(high - low) / 25.0::DOUBLE) + CASE WHEN qt IS NULL THEN 3 ELSE 8 END
+ - (least(15, 5 * greatest(0, kp - 1)) + least(8, 2 * greatest(0, kq - 1))))) AS score FROM c0)"""
+_RANKED = f"""{_CANDS}, r AS (SELECT *, row_number() OVER o AS rk, lead(score) OVER o AS nscore, lead(pv) OVER o AS npv FROM c WHERE score >= 55
+ WINDOW o AS (PARTITION BY o_orderkey, g ORDER BY round(score, 9) DESC, (qt IS NULL)::INT, span, dgp, coalesce(dpw, 999999), pt, pi, qi))"""
+_GREEDY = f"""{_RANKED}, k AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY round(score, 9) DESC, (qt IS NULL)::INT, span, dgp, coalesce(dpw, 999999), pt, g, rk) AS n FROM r),
+f AS (SELECT DISTINCT o_orderkey, 0::BIGINT AS n, []::INT[] AS used, []::BIGINT[] AS tg, []::BIGINT[] AS tr FROM r
+ UNION ALL SELECT f.o_orderkey, k.n, CASE WHEN ok THEN list_append(used, pt) ELSE used END, CASE WHEN ok THEN list_append(tg, g) ELSE tg END, CASE WHEN ok THEN list_append(tr, rk) ELSE tr END
+ FROM f JOIN k ON k.o_orderkey = f.o_orderkey AND k.n = f.n + 1, LATERAL (SELECT NOT list_contains(tg, g) AND (NOT list_contains(used, pt) OR (score >= 80 AND dgp <= 12 AND span <= 18)) AS ok)),
+e AS (SELECT o_orderkey, arg_max(tg, n) AS tg, arg_max(tr, n) AS tr FROM f GROUP BY 1),
+pm AS (SELECT DISTINCT r.o_orderkey, g, coalesce(tr[list_position(tg, g)], 1) AS pk FROM r JOIN e ON e.o_orderkey = r.o_orderkey)"""
 
 
 def _mentions(spark, sf_dir):
-    n = F.concat(F.lit("τιμὴ πυροῦ ἀρταβῶν "), F.expr(_QTY).cast("bigint").cast("string"), F.lit(" δραχμαὶ "), F.expr(_PRICE).cast("bigint").cast("string"))
-    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey"), n.alias("value_text"), F.lit(True).alias("unit_signal"))
-    return link.events(rows.withColumn("value_norm", text.normalize_for_search("value_text")))
+    norm = F.expr(_BLOCK)
+    for plain, accented in _ACCENTS:
+        norm = F.replace(norm, F.lit(plain), F.lit(accented))
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey"), norm.alias("value_text"), F.lit(True).alias("unit_signal"))
+    # Dealt by mention while they are blocks: their candidates are ranked where they are made.
+    return link.events(link.deal(rows, ["o_orderkey"]).withColumn("value_norm", text.normalize_for_search("value_text")))
 
 
 _MENTION = ["o_orderkey"]
 
 
 def _ranked(spark, sf_dir):
-    return link.rank(link.candidates(_mentions(spark, sf_dir)), _MENTION)
+    # Equal up to rounding counts as equal, as in the SQL.
+    cands = link.candidates(_mentions(spark, sf_dir))
+    return link.rank(cands.withColumn("score", F.round("score", 9)), _MENTION)
 
 
-@query(
-    f"""SELECT o_orderkey, 'qty' AS kind, 2::INT AS tok, {_QTY}::DOUBLE AS value, 'αρταβων' AS word FROM orders UNION ALL SELECT o_orderkey, 'price', 3, {_QTY}::DOUBLE, 'δραχμαι' FROM orders
-UNION ALL SELECT o_orderkey, 'price', 4, {_PRICE}, 'δραχμαι' FROM orders UNION ALL SELECT o_orderkey, 'grain', 1, NULL, 'πυρου' FROM orders UNION ALL SELECT o_orderkey, 'priceword', 0, NULL, 'τιμη' FROM orders"""
-)
+@query(f"WITH {_EVENTS} SELECT o_orderkey, kind, tok, round(value, 9) AS value, word FROM ev")
 def event_extract(spark, sf_dir):
     rows = _mentions(spark, sf_dir)
     none = F.lit(None).cast("double")
-    def of(kind: str, column: str, valued: bool):
-        value = F.col("e.value") if valued else none
-        return rows.select("o_orderkey", F.lit(kind).alias("kind"), F.explode(column).alias("e")).select("o_orderkey", "kind", F.col("e.tok").alias("tok"), value.alias("value"), F.col("e.word").alias("word"))
-
-    out = of("qty", "qtys", True)
-    for kind, column, valued in (("price", "prices", True), ("grain", "grains", False), ("priceword", "pricewords", False)):
-        out = out.unionByName(of(kind, column, valued))
-    return out
+    of = lambda kind, column, value: F.transform(column, lambda e: F.struct(F.lit(kind).alias("kind"), e["tok"].alias("tok"), (F.round(e["value"], 9) if value else none).alias("value"), e["word"].alias("word")))
+    found = F.concat(of("qty", "qtys", True), of("price", "prices", True), of("grain", "grains", False), of("priceword", "pricewords", False))
+    return rows.select("o_orderkey", F.explode(found).alias("e")).select("o_orderkey", "e.*")
 
 
-@query(f"WITH {_PAIRS} SELECT o_orderkey, CASE WHEN is_num_price THEN 4 ELSE 3 END::INT AS price_tok, CASE WHEN is_num_price THEN 4 ELSE 3 END::INT AS d_pw FROM orders, c WHERE has_qty")
+@query(f"WITH {_CANDS} SELECT o_orderkey, g::INT AS Grain_Index, pt AS price_tok, dpw::INT AS d_pw, coalesce(dpw <= 8, false) AS priceword_near FROM c WHERE qt IS NULL")
 def nearest_priceword(spark, sf_dir):
-    return link.candidates(_mentions(spark, sf_dir)).where("qty_tok is not null").select("o_orderkey", "price_tok", "d_pw")
+    return link.candidates(_mentions(spark, sf_dir)).where("qty_tok is null").select("o_orderkey", "Grain_Index", "price_tok", "d_pw", "priceword_near")
 
 
-@query(f"WITH {_PAIRS} SELECT o_orderkey, CASE WHEN is_num_price THEN 4 ELSE 3 END::INT AS price_tok, CASE WHEN has_qty THEN 2 ELSE -1 END::INT AS qty_tok, CASE WHEN is_num_price THEN 3 ELSE 2 END::INT AS d_gp, CASE WHEN has_qty THEN 1 ELSE -1 END::INT AS d_gq FROM orders, c")
+@query(f"WITH {_CANDS} SELECT o_orderkey, g::INT AS Grain_Index, grain AS Grain_Form, pt AS price_tok, round(pv, 9) AS price_value, coalesce(qt, -1)::INT AS qty_tok, round(qv, 9) AS qty_value, qw AS qty_unit, dgp::INT AS d_gp, coalesce(dgq, -1)::INT AS d_gq, span::INT AS span FROM c")
 def band_join_candidates(spark, sf_dir):
-    return link.candidates(_mentions(spark, sf_dir)).select("o_orderkey", "price_tok", F.coalesce("qty_tok", F.lit(-1)).alias("qty_tok"), "d_gp", F.coalesce("d_gq", F.lit(-1)).alias("d_gq"))
+    rows = link.candidates(_mentions(spark, sf_dir))
+    return rows.select("o_orderkey", "Grain_Index", "Grain_Form", "price_tok", F.round("price_value", 9).alias("price_value"), F.coalesce("qty_tok", F.lit(-1)).alias("qty_tok"), F.round("qty_value", 9).alias("qty_value"), "qty_unit", "d_gp", F.coalesce("d_gq", F.lit(-1)).alias("d_gq"), "span")
 
 
-@query(
-    f"""WITH {_PAIRS}, x AS (SELECT rk, has_qty, CASE WHEN is_num_price THEN 3 ELSE 2 END AS d FROM c)
-SELECT o_orderkey, rk::INT AS rank, round(10 + 40 * exp(-d / 12.0) + CASE WHEN has_qty THEN 15 * exp(-1 / 20.0) ELSE 0 END + 10 * exp(-(d + 1) / 8.0) + 15 * exp(-d / 25.0) + CASE WHEN has_qty THEN 8 ELSE 3 END - 5, 9) AS score FROM orders, x"""
-)
+@query(f"WITH {_CANDS} SELECT o_orderkey, g::INT AS Grain_Index, pt AS price_tok, coalesce(qt, -1)::INT AS qty_tok, round(score, 6) AS score FROM c")
 def confidence_score(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("o_orderkey", "rank", F.round("score", 9).alias("score"))
+    return link.candidates(_mentions(spark, sf_dir)).select("o_orderkey", "Grain_Index", "price_tok", F.coalesce("qty_tok", F.lit(-1)).alias("qty_tok"), F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_PAIRS} SELECT o_orderkey, rk::INT AS rank, round(score::DOUBLE, 4) AS score, CASE WHEN is_num_price THEN {_PRICE} ELSE {_QTY}::DOUBLE END AS price_value FROM orders, c WHERE rk <= 2 AND score >= 60")
+@query(f"WITH {_RANKED} SELECT o_orderkey, g::INT AS Grain_Index, rk::INT AS rank, round(score, 6) AS score, round(pv, 9) AS price_value FROM r WHERE rk <= 2")
 def rank_topk(spark, sf_dir):
-    rows = link.rank(link.candidates(_mentions(spark, sf_dir)), _MENTION, 60.0).where("rank <= 2")
-    return rows.select("o_orderkey", "rank", F.round("score", 4).alias("score"), "price_value")
+    return _ranked(spark, sf_dir).where("rank <= 2").select("o_orderkey", "Grain_Index", "rank", F.round("score", 6).alias("score"), F.round("price_value", 9).alias("price_value"))
 
 
-@query(
-    f"""WITH {_PAIRS}, n AS (SELECT rk, score, score - lead(score) OVER (ORDER BY rk) < 8 AS amb, lead(score) OVER (ORDER BY rk) AS alt FROM c)
-SELECT o_orderkey, rk::INT AS rank, coalesce(amb, false) AS ambiguous, CASE WHEN amb THEN round(alt::DOUBLE, 4) END AS alt_score FROM orders, n"""
-)
+@query(f"WITH {_RANKED} SELECT o_orderkey, g::INT AS Grain_Index, rk::INT AS rank, coalesce(round(score, 9) - round(nscore, 9) < 8, false) AS ambiguous, CASE WHEN round(score, 9) - round(nscore, 9) < 8 THEN round(nscore, 6) END AS alt_score, CASE WHEN round(score, 9) - round(nscore, 9) < 8 THEN round(npv, 9) END AS alt_price FROM r")
 def ambiguity_lead(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("o_orderkey", "rank", "ambiguous", F.round("alt_score", 4).alias("alt_score"))
+    return _ranked(spark, sf_dir).select("o_orderkey", "Grain_Index", "rank", "ambiguous", F.round("alt_score", 6).alias("alt_score"), F.round("alt_price_value", 9).alias("alt_price"))
 
 
-@query(f"SELECT o_orderkey, 1::INT AS Grain_Index, 1::INT AS primary_rank FROM orders UNION ALL SELECT o_orderkey, 2, 2 FROM orders")
+@query(f"WITH RECURSIVE {_GREEDY} SELECT o_orderkey, g::INT AS Grain_Index, pk::INT AS primary_rank FROM pm")
 def greedy_primary(spark, sf_dir):
-    """Two grains want the first price; the second one takes what is left."""
-    g = F.explode(F.array(F.lit(1), F.lit(2))).alias("Grain_Index")
-    base = _ranked(spark, sf_dir).where("qty_tok is not null").drop("Grain_Index").select("*", g)
-    rows = base.withColumn("score", F.col("score") - F.col("Grain_Index") - 10)
-    return link.primaries(rows, _MENTION).select("o_orderkey", "Grain_Index", "primary_rank")
+    """Grains of a block compete for its prices."""
+    return link.primaries(_ranked(spark, sf_dir), _MENTION).select("o_orderkey", "Grain_Index", "primary_rank")
 
 
-@query(f"WITH {_PAIRS} SELECT o_orderkey, rk::INT AS rank, rk = 1 AS is_primary FROM orders, c WHERE rk <= 3")
+@query(f"WITH RECURSIVE {_GREEDY} SELECT r.o_orderkey, r.g::INT AS Grain_Index, rk::INT AS rank, rk = pk AS is_primary FROM r JOIN pm ON pm.o_orderkey = r.o_orderkey AND pm.g = r.g WHERE rk <= 2 OR rk = pk")
 def emit_policy(spark, sf_dir):
-    options = LinkOptions(topk=3, global_assign=True, emit_topk_and_primary_only=True)
-    return link.emit(link.with_primary(_ranked(spark, sf_dir), _MENTION, options), options).select("o_orderkey", "rank", "is_primary")
+    options = LinkOptions(topk=2, global_assign=True, emit_topk_and_primary_only=True)
+    return link.emit(link.with_primary(_ranked(spark, sf_dir), _MENTION, options), options).select("o_orderkey", "Grain_Index", "rank", "is_primary")
 
 
-@query(
-    f"""WITH {_PAIRS} SELECT o_orderkey, rk::INT AS rank, CASE WHEN is_num_price THEN 'τιμὴ πυροῦ ἀρταβῶν ' || {_QTY} || ' δραχμαὶ ' || {_PRICE}::BIGINT ELSE 'τιμὴ πυροῦ ἀρταβῶν ' || {_QTY} || ' δραχμαὶ' END AS context FROM orders, c WHERE rk <= 2"""
-)
+@query(f"WITH {_RANKED} SELECT r.o_orderkey, g::INT AS Grain_Index, rk::INT AS rank, array_to_string(ws[greatest(low - 1, 0) + 1 : high + 2], ' ') AS context FROM r JOIN b ON b.o_orderkey = r.o_orderkey WHERE rk <= 2")
 def context_window(spark, sf_dir):
     rows = _ranked(spark, sf_dir).where("rank <= 2")
-    return rows.select("o_orderkey", "rank", text.context_window(text.tokens(F.col("value_text")), F.col("low") - 1, F.col("high") + 1).alias("context"))
+    return rows.select("o_orderkey", "Grain_Index", "rank", text.context_window(text.tokens(F.col("value_norm")), F.col("low") - 1, F.col("high") + 1).alias("context"))
+
 
+_AMOUNT = "(CASE WHEN round(value, 6) = floor(round(value, 6)) THEN floor(round(value, 6))::BIGINT::VARCHAR ELSE regexp_replace(printf('%.6f', value), '\\.?0+$', '') END) || ' ' || word"
 
-@query(f"SELECT o_orderkey, {_QTY} || ' αρταβων' AS Quantities, {_QTY} || ' δραχμαι;' || {_PRICE}::BIGINT || ' δραχμαι' AS Prices FROM orders WHERE {_QTY} <> {_PRICE}")
+
+@query(
+    f"""WITH {_EVENTS}, x AS (SELECT o_orderkey, kind, pat, tok, {_AMOUNT} AS s FROM ev WHERE kind IN ('qty', 'price')), y AS (SELECT o_orderkey, kind, s, min(pat * 1000 + tok) AS place FROM x GROUP BY ALL),
+z AS (SELECT o_orderkey, string_agg(s, ';' ORDER BY place) FILTER (WHERE kind = 'qty') AS q, string_agg(s, ';' ORDER BY place) FILTER (WHERE kind = 'price') AS p FROM y GROUP BY 1) SELECT b.o_orderkey, coalesce(q, '') AS Quantities, coalesce(p, '') AS Prices FROM b LEFT JOIN z ON z.o_orderkey = b.o_orderkey"""
+)
 def mention_amounts(spark, sf_dir):
     every = lambda c: text.ordered_join(F.transform(c, lambda e: F.concat_ws(" ", text.format_fraction(e["value"]), e["word"])))
-    return _mentions(spark, sf_dir).where(f"{_QTY} <> {_PRICE}").select("o_orderkey", every("qtys").alias("Quantities"), every("prices").alias("Prices"))
+    return _mentions(spark, sf_dir).select("o_orderkey", every("qtys").alias("Quantities"), every("prices").alias("Prices"))
 
 
 @query("SELECT n_nationkey, lower(n_name) || ' σιτοσ αρταβη ' || n_nationkey AS norm FROM nation")
