@@ -38,18 +38,38 @@ _GPL3_NOTICE = """This program is free software: you can redistribute it and/or
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
 
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_MPL2_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+_BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 # Licence texts and standard notices, by their public short names.
 KNOWN = {
-    "MIT": f"MIT License\n\n{_MIT}",
-    "MIT (no title)": _MIT,
-    "ISC": f"ISC License\n\n{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_END}",
-    "ISC (no title)": f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_END}",
+    "MIT": _MIT,
+    "ISC": f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_END}",
     "0BSD": f"{_ISC_GRANT}.\n\n{_ISC_END}",
     "BSD-2-Clause": f"{_BSD_HEAD}\n\n{_BSD_END}",
     "BSD-3-Clause": f"{_BSD_HEAD}\n\n{_BSD_THIRD}\n\n{_BSD_END}",
     "Zlib": _ZLIB,
     "Apache-2.0 (notice)": _APACHE_NOTICE,
     "GPL-3.0-or-later (notice)": _GPL3_NOTICE,
+    "AGPL-3.0-or-later (notice)": _GPL3_NOTICE.replace("GNU General", "GNU Affero General"),
+    "LGPL-3.0-or-later (notice)": _GPL3_NOTICE.replace("GNU General", "GNU Lesser General"),
+    "MPL-2.0 (notice)": _MPL2_NOTICE,
+    "Unlicense": _UNLICENSE,
+    "BSL-1.0": _BOOST,
 }
 # Spellings that count as the same, after case and punctuation are gone.
 SAME = (
@@ -57,22 +77,29 @@ SAME = (
     ("honour", "honor"), ("judgement", "judgment"), ("merchantibility", "merchantability"), ("noninfringment", "noninfringement"), ("per cent", "percent"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
     ("whilst", "while"), ("wilful", "willful"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("https", "http"), ("non commercial", "noncommercial"),
 )
-#: Lines that only say whose copyright it is.
-COPYRIGHT = r"(?i)(?:^|\n)[ \t#*/;-]*(?:copyright|\(c\)|\xA9)(?:[ \t]+(?:\(c\)|\xA9|[0-9])[^\n]*|[ \t]*(?:\(c\)|\xA9)[^\n]*)"
+#: Lines that only say whose copyright it is: with a sign, a year or a place for one, or a name.
+COPYRIGHT = r"(?:^|\n)[ \t#*/;-]*(?:[Pp]ortions[ \t]+)?(?:(?i:copyright|\(c\)|\xA9)(?:[ \t:,]+(?:\([Cc]\)|\xA9|[0-9<\[{])[^\n]*|[ \t]*(?:\([Cc]\)|\xA9)[^\n]*)|[Cc]opyright[ \t:,]+[A-Z][^\n]*)"
+#: A first line that is only a licence's name, and what items of a list begin with.
+TITLE = r"(?i)^[\s#*/;-]*(?:the[ \t]+)?(?:mit|isc|zlib|unlicense|bsd[ \t]+[0-9]-clause|[0-9]-clause[ \t]+bsd|(?:new|simplified|modified|revised)[ \t]+bsd|bsd)(?:[ \t]+licen[sc]e)?[ \t]*(?:\([a-z0-9 -]+\))?[ \t]*\r?\n"
+ITEM = r"(?m)^[ \t#*/;]*(?:\(?[0-9a-z]{1,2}[.)]|[*-])[ \t]+"
 _RIGHTS = r"(?i)(?:^|\n)[ \t#*/;-]*all rights reserved[ \t.]*(?:$|\n)"
 
 
+_STEPS = ((TITLE, "\n"), (COPYRIGHT, "\n"), (COPYRIGHT, "\n"), (_RIGHTS, "\n"), (_RIGHTS, "\n"), (ITEM, ""))
+
+
 def canonical(text: Column) -> Column:
-    """Lower case words with one space between: no copyright lines, marks of comments or punctuation, and one spelling of each word."""
+    """Lower case words with one space between: no title, copyright lines, marks of comments, lists or punctuation, and one spelling of each word."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
     # Twice: a match takes the line end that the next line would begin with.
-    for pattern in (COPYRIGHT, _RIGHTS, _RIGHTS):
-        t = F.regexp_replace(t, pattern, "\n")
+    for pattern, by in _STEPS:
+        t = F.regexp_replace(t, pattern, by)
     t = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{AB}\x{BB}\x{2010}-\x{2027}]+", " "), F.lit(" "))
+    # Two blanks between words: neighbours do not share one, and each is replaced.
+    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{AB}\x{BB}\x{2010}-\x{2027}]+", "  "), F.lit(" "))
     for old, new in SAME:
-        t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(t)
+        t = F.replace(t, F.lit(f" {old} ".replace(" ", "  ")[1:-1]), F.lit(f" {new} "))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -105,13 +132,13 @@ def sql(known: dict[str, str] | None = None, docs: str = "documents") -> str:
 
     def expression(t: str) -> str:
         t = f"regexp_replace(coalesce({t}, ''), '\\r\\n?', chr(10), 'g')"
-        for pattern in (COPYRIGHT, _RIGHTS, _RIGHTS):
-            t = f"regexp_replace({t}, {quote(pattern.replace(chr(92) + 'xA9', chr(92) + 'x{A9}'))}, chr(10), 'g')"
+        for pattern, by in _STEPS:
+            t = f"regexp_replace({t}, {quote(pattern.replace(chr(92) + 'xA9', chr(92) + 'x{A9}'))}, {'chr(10)' if by else quote('')}, 'g')"
         t = f"translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        t = f"' ' || regexp_replace({t}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{{A0}}\\x{{AB}}\\x{{BB}}\\x{{2010}}-\\x{{2027}}]+', ' ', 'g') || ' '"
+        t = f"' ' || regexp_replace({t}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{{A0}}\\x{{AB}}\\x{{BB}}\\x{{2010}}-\\x{{2027}}]+', '  ', 'g') || ' '"
         for old, new in SAME:
-            t = f"replace({t}, {quote(f' {old} ')}, {quote(f' {new} ')})"
-        return f"sha256(trim({t}, ' '))"
+            t = f"replace({t}, {quote(f' {old} '.replace(' ', '  ')[1:-1])}, {quote(f' {new} ')})"
+        return f"sha256(trim(replace({t}, '  ', ' '), ' '))"
 
     rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in (KNOWN if known is None else known).items())
     return re.sub(

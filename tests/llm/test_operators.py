@@ -160,11 +160,18 @@ def test_licenses(spark):
     import duckdb
 
     mit = licenses.KNOWN["MIT"]
-    rows = [(1, "Copyright (c) 2020 Somebody\n\n" + mit.upper().replace(",", " ,"), "en", "a"), (2, mit + " and more", "en", "a"), (3, "# The Licence".join(["", ""]), "en", "a"), (8, licenses.KNOWN["BSD-3-Clause"].replace("copyright holder", "copyright owner"), "en", "a"), (9, "Copyright 2020 A\nAll rights reserved.\n", "en", "a"), *[(20 + (i or 0), t, a, b) for i, t, a, b in ODD]]
+    rows = [(1, "Copyright (c) 2020 Somebody\n\n" + mit.upper().replace(",", " ,"), "en", "a"), (2, mit + " and more", "en", "a"), (3, "# The Licence".join(["", ""]), "en", "a"), (8, licenses.KNOWN["BSD-3-Clause"].replace("copyright holder", "copyright owner"), "en", "a"), (9, "Copyright 2020 A\nAll rights reserved.\n", "en", "a"),
+        (30, "The MIT License (MIT)\n\nCopyright Jane Doe, 2020\nPortions Copyright <YEAR> <HOLDER>\n\n" + mit, "en", "a"), (31, "BSD 3-Clause License\n\nCopyright [yyyy] [name]\n\n" + re.sub(r"(?m)^\d\.", "*", licenses.KNOWN["BSD-3-Clause"]), "en", "a"),
+        (32, licenses.KNOWN["Unlicense"].replace("recognize", "recognize").replace("non-commercial", "non commercial"), "en", "a"), (33, "licence licence favour", "en", "a"), *[(20 + (i or 0), t, a, b) for i, t, a, b in ODD]]
     docs = docs_of(spark, rows)
     got = {(r.doc_id, r.digest, r.license) for r in licenses.scan_licenses(docs).collect()}
     names = {r[0]: r[2] for r in got}
     assert (names[1], names[2], names[8], names[9]) == ("MIT", None, "BSD-3-Clause", None)
+    assert (names[30], names[31], names[32], names[33]) == ("MIT", "BSD-3-Clause", "Unlicense", None)
+    words = spark.createDataFrame([("licence licence favour per cent",)], "t string").select(licenses.canonical(F.col("t"))).first()[0]
+    assert words == "license license favor percent"
+    assert {r.license for r in licenses.scan_licenses(spark.createDataFrame([(k, v) for k, v in licenses.KNOWN.items()], "doc_id string, text string")).collect()} == set(licenses.KNOWN)
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
     assert set(con.execute(licenses.sql()).fetchall()) == got
