@@ -99,18 +99,20 @@ def battery(tokens: DataFrame, word: str = "word") -> DataFrame:
 def discoveries(tested: DataFrame, rate: float = 0.05, chance: float = 0.001) -> DataFrame:
     """Tested tokens with secret, by Benjamini and Hochberg's procedure within each encoding and band of lengths.
 
-    Those that are not random (p_chance below chance) stay among the tests but are
-    never reported. Probabilities are rounded up to steps of their logarithm, so a
-    stratum is a few hundred counts, whatever the number of tokens.
+    The controlled probability of a token is p_word, and 1 where the battery says that it
+    is not random (p_chance below chance): chi-squared, runs and serial correlation are in
+    it, and as it is never less than p_word the rate holds. Probabilities are rounded up to
+    steps of their logarithm, so a stratum is a few hundred counts, whatever the number of tokens.
     """
-    step = F.ceil(F.log10(F.greatest("p_word", F.lit(1e-12))) * 50)
+    p = F.when(F.col("p_chance") >= chance, F.col("p_word")).otherwise(F.lit(1.0))
+    step = F.ceil(F.log10(F.greatest(p, F.lit(1e-12))) * 50)
     t = tested.withColumn("_stratum", F.concat_ws(":", "encoding", F.floor(F.log2(F.col("n").cast("double") / 5)).cast("string"))).withColumn("_step", step)
     counts = t.groupBy("_stratum", "_step").agg(F.count("*").alias("_c"))
     rank = F.sum("_c").over(Window.partitionBy("_stratum").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0))
     every = F.sum("_c").over(Window.partitionBy("_stratum"))
     counts = counts.withColumn("_ok", F.pow(F.lit(10.0), F.col("_step") / 50) <= rate * rank / every)
     limits = counts.where("_ok").groupBy("_stratum").agg(F.max("_step").alias("_limit"))
-    t = t.join(limits, "_stratum", "left").withColumn("secret", F.coalesce(F.col("_step") <= F.col("_limit"), F.lit(False)) & (F.col("p_chance") >= chance))
+    t = t.join(limits, "_stratum", "left").withColumn("secret", F.coalesce(F.col("_step") <= F.col("_limit"), F.lit(False)))
     return t.select(*tested.columns, "secret")
 
 

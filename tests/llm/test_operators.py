@@ -145,6 +145,16 @@ def test_randomness_battery(spark):
     plain = [("internationalization" * 3)[i : i + 36] for i in range(20)] + ["a" * 40, "0" * 32]
     tested = secrets.discoveries(secrets.battery(spark.createDataFrame([(w,) for w in secret + plain], "word string"))).collect()
     found = {r.word for r in tested if r.secret}
+    # Benjamini and Hochberg's procedure, token by token, with the same strata and steps.
+    strata = {}
+    for r in tested:
+        step = int(np.ceil(np.log10(max(r.p_word if r.p_chance >= 0.001 else 1.0, 1e-12)) * 50))
+        strata.setdefault((r.encoding, int(np.floor(np.log2(r.n / 5)))), []).append((step, r.word))
+    want = set()
+    for own in strata.values():
+        ok = [s for s, _ in own if 10 ** (s / 50) <= 0.05 * sum(o <= s for o, _ in own) / len(own)]
+        want |= {w for s, w in own if ok and s <= max(ok)}
+    assert found == want
     assert len(found & set(secret)) >= 18 and not found & set(plain)
 
 
