@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Queries walked at once.
-TOGETHER = 256
+#: Queries walked at once, and nodes of each that a step of theirs opens at most.
+TOGETHER, STEP = 256, 8
 
 
 @dataclass
@@ -52,26 +52,33 @@ class Graph:
         got[:, :width] = np.where(ids[:, :width] >= 0, np.einsum("qkd,qd->qk", self.vectors[ids[:, :width]], queries), -np.inf)
         open_[:, :width] = ids[:, :width] >= 0
         seen[rows[:, None], ids[:, :width]] = True
+        together = max(1, min(STEP, breadth // 8))
         while True:
             best = np.where(open_, got, -np.inf)
-            pick = best.argmax(axis=1)
-            live = np.flatnonzero(best[rows, pick] > -np.inf)
+            live = np.flatnonzero(open_.any(axis=1))
             if not len(live):
                 break
-            pick = pick[live]
-            open_[live, pick] = False
-            next_ = near[ids[live, pick]].astype(np.int64)
-            fresh = ~seen[live[:, None], next_]
-            seen[live[:, None], next_] = True
-            value = np.einsum("qkd,qd->qk", self.vectors[next_], queries[live])
-            value = np.where(fresh, value, -np.inf)
+            by = live[:, None]
+            pick = np.argpartition(-best[live], together - 1, axis=1)[:, :together]
+            chosen = open_[by, pick]
+            open_[by, pick] = False
+            next_ = near[np.where(chosen, ids[by, pick], -1)].astype(np.int64)
+            next_[~chosen] = -1
+            next_ = next_.reshape(len(live), -1)
+            if together > 1:
+                # Two nodes may share a neighbour: the second one goes.
+                next_.sort(axis=1)
+                next_[:, 1:][next_[:, 1:] == next_[:, :-1]] = -1
+            fresh = ~seen[by, next_]
+            seen[by, next_] = True
+            value = np.full(next_.shape, -np.inf, np.float32)
+            value[fresh] = np.einsum("nd,nd->n", self.vectors[next_[fresh]], queries[live[np.nonzero(fresh)[0]]])
             all_got = np.concatenate([got[live], value], axis=1)
-            all_ids = np.concatenate([ids[live], np.where(fresh, next_, -1)], axis=1)
-            all_open = np.concatenate([open_[live], fresh], axis=1)
             keep = np.argpartition(-all_got, breadth - 1, axis=1)[:, :breadth]
-            got[live] = np.take_along_axis(all_got, keep, 1)
-            ids[live] = np.take_along_axis(all_ids, keep, 1)
-            open_[live] = np.take_along_axis(all_open, keep, 1) & (got[live] > -np.inf)
+            pairs = np.arange(len(live))[:, None]
+            got[live] = all_got[pairs, keep]
+            ids[live] = np.concatenate([ids[live], np.where(fresh, next_, -1)], axis=1)[pairs, keep]
+            open_[live] = np.concatenate([open_[live], fresh], axis=1)[pairs, keep] & (got[live] > -np.inf)
         order = np.argsort(-got, axis=1, kind="stable")
         ids, got = np.take_along_axis(ids, order, 1), np.take_along_axis(got, order, 1)
         return np.where(got > -np.inf, ids, -1), got
