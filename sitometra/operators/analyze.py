@@ -104,7 +104,9 @@ def review_queue(df: DataFrame, ties: list[str] | None = None, limit: int | None
     rows = df
     top = no
     if "UnitPrice_raw" in there:
-        rows = rows.crossJoin(F.broadcast(df.agg(F.percentile("UnitPrice_raw", F.lit(0.99)).alias("_top"))))
+        # One row, also where no row has a price.
+        end = stats.quantiles(df, "UnitPrice_raw", [], {"_top": 0.99}).agg(F.max("_top").alias("_top"))
+        rows = rows.crossJoin(F.broadcast(end))
         top = F.col("UnitPrice_raw") >= F.col("_top")
     found = (
         text.is_yes(F.col("Ambiguous")) if "Ambiguous" in there else no,

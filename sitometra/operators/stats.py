@@ -5,15 +5,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
+
+#: Distinct values, of all groups together, that one task may hold; and pieces of a larger group's range.
+HELD, PIECES = 1_000_000, 64
+
 
 def _q(c: str | Column, p: float) -> Column:
     return F.percentile(c, F.lit(p))
 
 
-def trend(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+def _counted(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """_g (the columns of by as one), _v, _c: how often each group has each value, as a written table; nulls are left out."""
+    group = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in by]).alias("_g")
+    rows = df.select(group, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    return cut(rows.groupBy("_g", "_v").agg(F.count("*").alias("_c")))
+
+
+def _between(p: float, low: Column, high: Column) -> Column:
+    """The value at the share p of the _n - 1 steps between _n ranks, of the values at the ranks below and above it."""
+    at = (F.col("_n") - 1) * F.lit(float(p))
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
+def _quantiles(counted: DataFrame, wanted: dict[str, float], held: int) -> DataFrame:
+    """_g, _n (how many values) and the exact quantiles, linear between neighbouring ranks.
+
+    counted: a written table of _g, _v, _c. With up to `held` distinct values in all,
+    groups are aggregated whole. Beyond that approximate quantiles of a group's
+    distinct values cut its range into pieces; the pieces' counts tell in which of
+    them a wanted rank lies, and only those are sorted, each as a task's window.
+    """
+    names = list(wanted)
+    if counted.count() <= held:
+        found = F.percentile("_v", F.array(*[F.lit(float(p)) for p in wanted.values()]), F.col("_c"))
+        out = counted.groupBy("_g").agg(F.sum("_c").alias("_n"), found.alias("_q"))
+        return out.select("_g", "_n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
+    ends = F.percentile_approx("_v", [i / PIECES for i in range(1, PIECES)], 20 * PIECES)
+    # A group of few distinct values is one piece.
+    groups = cut(counted.groupBy("_g").agg(F.sum("_c").alias("_n"), F.when(F.count("*") > 20 * PIECES, ends).alias("_ends")))
+    piece = sum((F.coalesce((F.col("_v") > F.get("_ends", F.lit(i))).cast("int"), F.lit(0)) for i in range(PIECES - 1)), F.lit(0))
+    rows = cut(counted.join(groups, "_g").select("_g", "_v", "_c", "_n", piece.alias("_piece")))
+    along = Window.partitionBy("_g").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_g", "_piece").agg(F.sum("_c").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(along), F.lit(0)))
+    ranks = [f((F.col("_n") - 1) * F.lit(float(p))) for p in wanted.values() for f in (F.floor, F.ceil)]
+    here = lambda start, size: [(r >= F.col(start)) & (r < F.col(start) + F.col(size)) for r in ranks]
+    hit = sums.join(groups.select("_g", "_n"), "_g").where(F.array_contains(F.array(*here("_before", "_m")), F.lit(True))).select("_g", "_piece", "_before")
+    inside = Window.partitionBy("_g", "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(hit, ["_g", "_piece"]).withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    found = rows.groupBy("_g").agg(F.max("_n").alias("_n"), *[F.max(F.when(x, F.col("_v"))).alias(f"_r{i}") for i, x in enumerate(here("_at", "_c"))])
+    return found.select("_g", "_n", *[_between(p, F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")).alias(name) for i, (name, p) in enumerate(wanted.items())])
+
+
+def quantiles(df: DataFrame, value: str, by: list[str], wanted: dict[str, float], held: int = HELD) -> DataFrame:
+    """The columns of by, n and the wanted quantiles of the groups that have a value; no row for an empty table."""
+    out = _quantiles(_counted(df, value, by), wanted, held)
+    return out.select(*[F.col("_g")[c].alias(c) for c in by], F.col("_n").alias("n"), *wanted)
+
+
+def _spread(counted: DataFrame, held: int) -> DataFrame:
+    """_g, _med, _mad: each group's median, and the median of the distances from it."""
+    med = cut(_quantiles(counted, {"_med": 0.5}, held).drop("_n"))
+    far = counted.join(med, "_g").groupBy("_g", F.abs(F.col("_v") - F.col("_med")).alias("_v")).agg(F.sum("_c").alias("_c"))
+    return med.join(_quantiles(cut(far), {"_mad": 0.5}, held).drop("_n"), "_g")
+
+
+def trend(df: DataFrame, value: str, by: list[str], held: int = HELD) -> DataFrame:
     """n, median, q25, q75 of value by groups; rows without a value or a group's first column do not count."""
-    rows = df.na.drop(subset=[value, by[0]])
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), _q(value, 0.5).alias("median"), _q(value, 0.25).alias("q25"), _q(value, 0.75).alias("q75"))
+    return quantiles(df.na.drop(subset=[value, by[0]]), value, by, {"median": 0.5, "q25": 0.25, "q75": 0.75}, held)
 
 
 def rolling_median(df: DataFrame, value: str, order: str, by: list[str], rows: int = 3, out: str = "median_smooth") -> DataFrame:
@@ -32,16 +91,10 @@ def price_index(df: DataFrame, order: str, first: int, last: int) -> DataFrame:
     return rows.select(*df.columns, F.try_divide(100 * F.col("median"), F.col("_base")).alias("price_index"), F.try_divide(100 * F.col("median_smooth"), F.col("_smooth")).alias("price_index_smooth"))
 
 
-def mad(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """df with _med and _mad of its group: aggregated and joined back, so that no group is one task's window."""
-    def keyed(stats: DataFrame, names: list[str]) -> DataFrame:
-        return stats.select(*[F.col(c).alias(f"_k_{c}") for c in by], *names)
-
-    on = lambda d, s: [d[c].eqNullSafe(s[f"_k_{c}"]) for c in by]
-    med = keyed(df.groupBy(*by).agg(_q(value, 0.5).alias("_med")), ["_med"])
-    rows = df.join(med, on(df, med), "left").drop(*[f"_k_{c}" for c in by])
-    spread = keyed(rows.groupBy(*by).agg(_q(F.abs(F.col(value) - F.col("_med")), 0.5).alias("_mad")), ["_mad"])
-    return rows.join(spread, on(rows, spread), "left").drop(*[f"_k_{c}" for c in by])
+def mad(df: DataFrame, value: str, by: list[str], held: int = HELD) -> DataFrame:
+    """df with _med and _mad of its group, null in groups without a value; joined back, so that no group is one task's window."""
+    both = _spread(_counted(df, value, by), held).select(*[F.col("_g")[c].alias(f"_k_{c}") for c in by], "_med", "_mad")
+    return df.join(both, [df[c].eqNullSafe(both[f"_k_{c}"]) for c in by], "left").drop(*[f"_k_{c}" for c in by])
 
 
 def group_outliers(df: DataFrame, value: str, by: list[str], prefix: str, z: float = 4.0) -> DataFrame:
@@ -52,18 +105,23 @@ def group_outliers(df: DataFrame, value: str, by: list[str], prefix: str, z: flo
     return rows.drop("_med", "_mad")
 
 
-def robust_summary(df: DataFrame, value: str, by: list[str], mad_z: float | None = 4.0, winsor: tuple[float, float] | None = None, min_n: int = 1) -> DataFrame:
-    """n, median, q25, q75 by groups, in logarithms, after trimming by deviation and, if asked, clipping at quantiles."""
+def robust_summary(df: DataFrame, value: str, by: list[str], mad_z: float | None = 4.0, winsor: tuple[float, float] | None = None, min_n: int = 1, held: int = HELD) -> DataFrame:
+    """n, median, q25, q75 by groups, in logarithms, after trimming by deviation and, if asked, clipping at quantiles.
+
+    All of it works on counts of the distinct values, so df is read once.
+    """
     rows = df.na.drop(subset=[value, *by]).where((F.col(value) > 0) & (F.col(value) < float("inf"))).withColumn("_z", F.log10(value))
+    counted = _counted(rows, "_z", by)
     if mad_z is not None:
-        rows = mad(rows, "_z", by)
-        rows = rows.where((F.col("_mad") == 0) | (F.abs(0.6745 * (F.col("_z") - F.col("_med")) / F.when(F.col("_mad") > 0, F.col("_mad"))) <= mad_z)).drop("_med", "_mad")
+        near = F.abs(0.6745 * (F.col("_v") - F.col("_med")) / F.when(F.col("_mad") > 0, F.col("_mad"))) <= mad_z
+        counted = cut(counted.join(_spread(counted, held), "_g").where((F.col("_mad") == 0) | near).select("_g", "_v", "_c"))
     if winsor:
-        ends = rows.groupBy(*by).agg(_q("_z", winsor[0]).alias("_lo"), _q("_z", winsor[1]).alias("_hi"))
-        rows = rows.join(ends, by).withColumn("_z", F.greatest("_lo", F.least("_hi", "_z")))
-    ten = lambda p: F.pow(F.lit(10.0), _q("_z", p))
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), ten(0.5).alias("median"), ten(0.25).alias("q25"), ten(0.75).alias("q75"))
-    return out.where(F.col("n") >= min_n)
+        ends = _quantiles(counted, {"_lo": winsor[0], "_hi": winsor[1]}, held)
+        clipped = counted.join(ends, "_g").withColumn("_v", F.greatest("_lo", F.least("_hi", "_v")))
+        counted = cut(clipped.groupBy("_g", "_v").agg(F.sum("_c").alias("_c")))
+    out = _quantiles(counted, {"median": 0.5, "q25": 0.25, "q75": 0.75}, held)
+    ten = [F.pow(F.lit(10.0), F.col(c)).alias(c) for c in ("median", "q25", "q75")]
+    return out.where(F.col("_n") >= min_n).select(*[F.col("_g")[c].alias(c) for c in by], F.col("_n").alias("n"), *ten)
 
 
 def top_values(df: DataFrame, column: str, n: int, rank_by: Column | None = None) -> DataFrame:
@@ -93,9 +151,9 @@ def histogram(df: DataFrame, value: str, n_bins: int) -> DataFrame:
     return frame.join(counts, "bin", "left").select("bin", (F.col("_lo") + step * F.col("bin")).alias("low"), (F.col("_lo") + step * (F.col("bin") + 1)).alias("high"), F.coalesce("_c", F.lit(0)).cast("long").alias("count"))
 
 
-def clip_tail(df: DataFrame, value: str, quantile: float = 0.995) -> DataFrame:
+def clip_tail(df: DataFrame, value: str, quantile: float = 0.995, held: int = HELD) -> DataFrame:
     """Rows up to the quantile of value."""
-    end = df.agg(_q(value, quantile).alias("_end"))
+    end = quantiles(df, value, [], {"_end": quantile}, held).select("_end")
     return df.crossJoin(F.broadcast(end)).where(F.col(value) <= F.col("_end")).drop("_end")
 
 
