@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import cut, n_words
 
 
 def targets(sizes: DataFrame, source: str, weight: Column, cap: float) -> DataFrame:
@@ -79,8 +79,12 @@ def mix(docs: DataFrame, *, key: Column, size: Column, source: str = "source", w
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """One row per document of the mix: doc_id, size, source_size, target, taken, epochs, part."""
-    mixed = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("_n_words")), key=F.col("doc_id"), size=F.col("_n_words"), **options)
+    """One row per document of the mix: doc_id, size, source_size, target, taken, epochs, part.
+
+    The texts are read and counted once, into a written table.
+    """
+    counted = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("_n_words")))
+    mixed = mix(counted, key=F.col("doc_id"), size=F.col("_n_words"), **options)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs", "part")
 
 
