@@ -11,6 +11,7 @@ from ..config import AnalyzeOptions, GraphOptions, HarvestOptions, LinkOptions,
 from ..functions import numbers, text
 from ..operators import analyze, harvest, link, sample, stats
 from ..sources import tables, xml
+from ..sources.store import cut
 
 
 def run_harvest(spark: SparkSession, editions: str, metadata: str, out: str | None = None, options: HarvestOptions = HarvestOptions()) -> DataFrame:
@@ -25,30 +26,34 @@ def run_harvest(spark: SparkSession, editions: str, metadata: str, out: str | No
 class Linked:
     rows: DataFrame
     mentions: DataFrame
+    missing: DataFrame  # jobs whose file is not there
 
 
-def run_link(spark: SparkSession, candidates: DataFrame, editions: str, out: str | None = None, out_mentions: str | None = None, options: LinkOptions = LinkOptions()) -> Linked:
+def run_link(spark: SparkSession, candidates: DataFrame, editions: str, out: str | None = None, out_mentions: str | None = None, options: LinkOptions = LinkOptions(), mode: str = "overwrite") -> Linked:
+    """Linked rows and mentions of the candidates' files; mode="append" adds them to what is in out and out_mentions."""
     jobs = tables.candidate_jobs(tables.require_columns(candidates, ("DDB_ID", "XML_RelPath")), options.max_docs)
     keep = [F.col(c) if c in jobs.columns else F.lit("").alias(c) for c in link.META]
     jobs = jobs.select("DDB_ID", "XML_RelPath", *keep)
     files = xml.read_corpus(spark, editions).withColumn("XML_RelPath", xml.relative_path(F.col("path"), editions))
     wanted = files.join(jobs.select("XML_RelPath").distinct(), "XML_RelPath", "left_semi")
     blocks = xml.parse_blocks(wanted.select("path", "content"), options.scan_commentary).drop("ddb_id").withColumn("XML_RelPath", xml.relative_path(F.col("path"), editions))
-    found = link.find_mentions(blocks.join(jobs, "XML_RelPath"), options)
-    result = Linked(link.link(found, options), link.mention_rows(found, options))
+    # Files are parsed and events found once, for rows and mentions.
+    found = cut(link.find_mentions(blocks.join(jobs, "XML_RelPath"), options))
+    missing = tables.missing_files(jobs, files.select("XML_RelPath"), right="XML_RelPath").select("DDB_ID", "XML_RelPath")
+    result = Linked(link.link(found, options), link.mention_rows(found, options), missing)
     if out:
-        tables.write_csv(result.rows, out)
+        tables.write_csv(result.rows, out, mode)
     if out_mentions:
-        tables.write_csv(result.mentions, out_mentions)
+        tables.write_csv(result.mentions, out_mentions, mode)
     return result
 
 
 def run_analyze(linked: DataFrame, out: str | None = None, options: AnalyzeOptions = AnalyzeOptions()) -> dict[str, DataFrame]:
-    primary = analyze.clean(analyze.select_primary(linked.na.fill("")), options.year_bin).cache()
+    primary = cut(analyze.clean(analyze.select_primary(linked.na.fill("")), options.year_bin))
     groups = ["Grain_Canon", "Unit_Canon", "Cur_Canon"]
     main = analyze.main_filter(primary, options.min_score, options.drop_ambiguous)
     main = stats.group_outliers(main, "UnitPrice_raw", groups, "RAW_Group", options.outlier_z)
-    main = stats.group_outliers(main, "Price_per_Liter_DrachmaEq", groups, "STD_Group", options.outlier_z).cache()
+    main = cut(stats.group_outliers(main, "Price_per_Liter_DrachmaEq", groups, "STD_Group", options.outlier_z))
     subset = main.where((F.col("Grain_Canon") == options.grain) & (F.col("Unit_Canon") == "artaba") & (F.col("Cur_Canon") == "drachma"))
     trend = analyze.trend_tables(subset, "UnitPrice_raw", ["YearBin"], options.smooth_rows)
     made = {

@@ -16,6 +16,7 @@ from ..config import HARVEST_LEXICON, HarvestOptions, Lexicon, LinkOptions
 from ..functions import canon, numbers, text
 from ..operators import analyze, harvest, link, sample, stats
 from ..sources import tables, xml
+from ..sources.store import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -501,7 +502,7 @@ _MENTION = ["o_orderkey"]
 
 def _ranked(spark, sf_dir):
     # Equal up to rounding counts as equal, as in the SQL.
-    cands = link.candidates(_mentions(spark, sf_dir))
+    cands = link.candidates(cut(_mentions(spark, sf_dir)))
     return link.rank(cands.withColumn("score", F.round("score", 9)), _MENTION)
 
 

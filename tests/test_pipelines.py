@@ -50,3 +50,12 @@ def test_stream(spark, corpus, tmp_path):
     q = linking.start(linking.read_stream(spark, str(corpus)), str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+
+
+def test_missing_files_and_append(spark, corpus, tmp_path):
+    rows = spark.createDataFrame([("d;0", "sub0/0.xml"), ("d;x", "sub0/nowhere.xml")], "DDB_ID string, XML_RelPath string")
+    out = str(tmp_path / "linked")
+    for times in (1, 2):
+        linked = pipelines.run_link(spark, rows, str(corpus), out, mode="append")
+        assert [tuple(r) for r in linked.missing.collect()] == [("d;x", "sub0/nowhere.xml")]
+        assert tables.read_csv(spark, out).count() == times * linked.rows.count() > 0
