@@ -66,7 +66,8 @@ def quantiles(df: DataFrame, value: str, by: list[str], wanted: dict[str, float]
 def _spread(counted: DataFrame, held: int) -> DataFrame:
     """_g, _med, _mad: each group's median, and the median of the distances from it."""
     med = cut(_quantiles(counted, {"_med": 0.5}, held).drop("_n"))
-    far = counted.join(med, "_g").groupBy("_g", F.abs(F.col("_v") - F.col("_med")).alias("_v")).agg(F.sum("_c").alias("_c"))
+    # Two values at most have the same distance: they need not be counted anew.
+    far = counted.join(med, "_g").select("_g", F.abs(F.col("_v") - F.col("_med")).alias("_v"), "_c")
     return med.join(_quantiles(cut(far), {"_mad": 0.5}, held).drop("_n"), "_g")
 
 
