@@ -10,13 +10,13 @@ in corpus order, sorts the suffixes, and takes for each the previous and the nex
 smaller position in suffix order: the longest previous factor, and where it began.
 A window is a later copy if that factor is as long as it.
 
-An anchor with more than `crowd` occurrences is not brought together: equal
-surroundings are counted as one, and their windows by digest, before any shuffle.
+The surroundings of an anchor with more than `crowd` occurrences would be a task's
+burden. Of equal ones the first stands for all before any shuffle; those that stand
+are parted by anchors of twice the bytes, up to whole windows, and go the same way.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_key
+from .common import cut, forget, join_salted, text_key
 
 #: Length of anchors; bytes hashed at once; bytes of surroundings whose suffixes are sorted at once.
 ANCHOR, BLOCK, CHUNK = 48, 1 << 20, 3 << 20
@@ -249,30 +249,45 @@ def _surroundings(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(work, "h long, df long, ctx binary, uid binary, doc_id long, first long")
 
 
-def _crowded(found: DataFrame, width: int, keep: str) -> DataFrame:
-    """uid, start, end: the spans under crowded anchors, by digests of the windows of distinct surroundings."""
-    found = found.withColumn("id", F.unhex(F.md5("ctx"))).withColumn("here", F.struct("doc_id", "uid", "first"))
-    distinct = found.groupBy("id", "ctx").agg(F.count("*").alias("c"), F.min("here").alias("here"))
+def _kinds(found: DataFrame) -> DataFrame:
+    """id, ctx of the distinct surroundings, the number c of rows that have them, and here: the first of these."""
+    here = F.struct("doc_id", "uid", "first")
+    return found.groupBy(F.unhex(F.md5("ctx")).alias("id"), "ctx").agg(F.count("*").alias("c"), F.min(here).alias("here"))
+
+
+def _copies(found: DataFrame, kinds: DataFrame, keep: str) -> DataFrame:
+    """uid, start, end: whole surroundings that are copies of others; the first of them is spared if keep is "first"."""
+    several = kinds.where("c > 1").select("id", "here", F.octet_length("ctx").alias("size"))
+    rows = cut(found.select(F.unhex(F.md5("ctx")).alias("id"), "doc_id", "uid", "first"))
+    rows = join_salted(rows, several, "id", F.xxhash64("uid", "first"), "inner")
+    if keep == "first":
+        own = F.struct("doc_id", "uid", "first").eqNullSafe(F.col("here"))
+        # Rows that repeat doc_id and text are copies too: one of them does not spare the others.
+        rows = rows.groupBy("uid", "first", "size", own.alias("own")).agg(F.count("*").alias("n")).where("not own or n > 1")
+    return rows.select("uid", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("end"))
+
+
+def _parted(kinds: DataFrame, width: int, k: int) -> DataFrame:
+    """h, df, ctx, uid, doc_id, first: the surroundings, in the first rows of their kinds, of anchors of k bytes that occur in several."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, ctx in enumerate(batch.column("ctx").to_pylist()):
-                one = batch.slice(i, 1)
-                n = len(ctx) - width + 1
-                digest = [hashlib.blake2b(ctx[o : o + width], digest_size=16).digest() for o in range(n)]
-                again = pa.array(np.zeros(n, np.int64))
-                yield pa.RecordBatch.from_arrays([one.column("id").take(again), pa.array(digest, pa.binary()), pa.array(np.arange(n, dtype=np.int64)), one.column("c").take(again), *(one.column(x).take(again) for x in ("doc_id", "uid", "first"))], names=["id", "digest", "off", "c", "doc_id", "uid", "first"])
-
-    windows = distinct.select("id", "ctx", "c", "here.*").mapInArrow(work, "id binary, digest binary, off long, c long, doc_id long, uid binary, first long")
-    where = F.struct("doc_id", "uid", (F.col("first") + F.col("off")).alias("at"))
-    counts = windows.groupBy("digest").agg(F.sum("c").alias("total"), F.min(where).alias("origin")).where("total > 1")
-    # Written, so that the join below is by itself in its stage and a common id can be dealt to many tasks.
-    repeats = cut(windows.select("id", "digest", "off").join(counts, "digest").groupBy("id").agg(F.collect_list(F.struct("off", "origin")).alias("windows")))
-    rows = found.select("id", "uid", "doc_id", "first").join(repeats, "id").select("uid", "doc_id", "first", F.explode("windows").alias("w"))
-    start = F.col("first") + F.col("w.off")
-    if keep == "first":
-        rows = rows.where(~(F.col("doc_id").eqNullSafe(F.col("w.origin.doc_id")) & (F.col("uid") == F.col("w.origin.uid")) & (start == F.col("w.origin.at"))))
-    return rows.select("uid", start.alias("start"), (start + width).alias("end"))
+            # Few at a time: with k near width each window is a row.
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = part.column("ctx").to_pylist()
+                begin = np.array(part.column("first").to_pylist(), np.int64)
+                for data, ends, number, base in _blocks(texts, width):
+                    h, first, n = anchors(data, ends, width, k)
+                    which = np.searchsorted(ends, first, side="right")
+                    ctx = [data[b : b + c - 1 + width].tobytes() for b, c in zip(first.tolist(), n.tolist(), strict=True)]
+                    local = first - np.concatenate([[0], ends[:-1]])[which] + base[which] + begin[number[which]]
+                    rows = pa.array(number[which])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx, pa.binary()), part.column("uid").take(rows), part.column("doc_id").take(rows), pa.array(local)], names=["h", "ctx", "uid", "doc_id", "first"])
+
+    rows = cut(kinds.select("ctx", "here.*").mapInArrow(work, "h long, ctx binary, uid binary, doc_id long, first long"))
+    counts = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    return join_salted(rows, counts, "h", F.xxhash64("uid", "first"), "inner").select("h", "df", "ctx", "uid", "doc_id", "first")
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
@@ -292,11 +307,23 @@ def repeated_spans(docs: DataFrame, *, width: int = 200, keep: str = "first", an
     rows = _anchor_rows(docs, width, k)
     counts = cut(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     found = cut(_surroundings(docs, rows.join(counts, "h"), width))
-    crowded = F.col("df") > crowd
-    spans = cut(found.where(~crowded).repartition("h").sortWithinPartitions("h").mapInArrow(_spans_of(width, keep), "uid binary, start long, end long"))
-    if not counts.where(crowded).limit(1).count():
-        return spans
-    return spans.unionByName(_crowded(found.where(crowded), width, keep))
+    forget(counts)
+    spans = None
+    while True:
+        quiet = found.where(F.col("df") <= crowd).repartition("h").sortWithinPartitions("h")
+        here = cut(quiet.mapInArrow(_spans_of(width, keep), "uid binary, start long, end long"))
+        spans = here if spans is None else spans.unionByName(here)
+        crowded = found.where(F.col("df") > crowd)
+        if not crowded.limit(1).count():
+            return spans
+        kinds = cut(_kinds(crowded))
+        spans = spans.unionByName(cut(_copies(crowded, kinds, keep)))
+        if k == width:
+            # Anchors were whole windows: those that are the same were copies.
+            return spans
+        k = min(width, 2 * k)
+        before, found = found, cut(_parted(kinds, width, k))
+        forget(before, kinds)
 
 
 def _spans_of(width: int, keep: str):

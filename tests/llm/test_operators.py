@@ -210,12 +210,29 @@ def test_repeats(spark, keep, crowd):
     words = ["".join(rng.choice(list("abcd é"), 6)) for _ in range(12)]
     rows = [" ".join(rng.choice(words, rng.integers(1, 60))) for _ in range(25)]
     rows += [rows[0], rows[1][:-5] + "!", "z" * 300, "yx" * 90, "", None]
+    # A passage of many texts, between words of their own.
+    rows += ["".join(rng.choice(list("uvwxyz"), 15)) + "a passage that many of the documents share" + "".join(rng.choice(list("uvwxyz"), 15)) for _ in range(12)]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, width=24, keep=keep, crowd=crowd).collect()}
     want = brute_removed([(t or "").encode() for t in rows], 24, keep)
     assert [got[i] for i in range(len(rows))] == want
 
 
+@pytest.mark.parametrize("crowd", [20_000, 2])
+def test_repeats_odd(spark, crowd):
+    """Null and repeated ids, repeated rows, a text beyond the blocks that are hashed at once, clashing columns, no rows."""
+    rng = np.random.default_rng(5)
+    long = "".join(rng.choice(list("abcdefgh"), (1 << 20) + 5000))
+    rows = [(None, "n" * 40), (None, "n" * 40), (7, "same row of text, more than once"), (7, "same row of text, more than once"), (7, "another text under that id"), (8, long + long[500_000:500_100]), (9, long[:300])]
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], "doc_id long, text string, uid_ string, h long, first string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, width=24, keep="none", crowd=crowd).collect())
+    want = brute_removed([t.encode() for _, t in rows], 24, "none")
+    assert got == sorted((i or 0, len(t), *w) for (i, t), w in zip(rows, want, strict=True))
+    first = suffix_dedup.remove_repeats(docs, width=24, keep="first", crowd=crowd).where("doc_id is null or doc_id = 7").collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in first) == [(26, 0), (32, 32), (32, 32), (40, 40), (40, 40)]
+    assert suffix_dedup.remove_repeats(docs.limit(0), width=24, crowd=crowd).count() == 0
+
+
 def test_previous_factors():
     text = np.frombuffer(b"abcabcabxabcab", np.uint8)
     starts = np.arange(len(text) - 4)
