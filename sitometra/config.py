@@ -95,6 +95,8 @@ class AnalyzeOptions:
     review_rows: int = 600
     outlier_z: float = 4.0
     smooth_rows: int = 3
+    min_n: int = 1
+    top_places: int = 6
     base_first: int = 50
     base_last: int = 99
     grain: str = "wheat (pyros)"

@@ -79,6 +79,21 @@ def main_filter(df: DataFrame, min_score: float = 60.0, drop_ambiguous: bool = F
     return rows.where(~text.is_yes(F.col("Ambiguous"))) if drop_ambiguous else rows
 
 
+def subset(df: DataFrame, **equal: str | tuple[str, ...]) -> DataFrame:
+    """Rows whose columns have the given value, or one of several."""
+    for name, value in equal.items():
+        df = df.where(F.col(name).isin(*((value,) if isinstance(value, str) else value)))
+    return df
+
+
+def graph_filter(df: DataFrame, min_score: float = 0.0, drop_ambiguous: bool = False, year_min: float | None = None, year_max: float | None = None) -> DataFrame:
+    """Rows of that score and, if there are bounds, of a year within them, both ends in; without a year a row goes only if there is a bound."""
+    rows = main_filter(df, min_score, drop_ambiguous and "Ambiguous" in df.columns)
+    year = numbers.to_num(F.col("Year")) if "Year" in df.columns else F.lit(None).cast("double")
+    rows = rows.where(year >= year_min) if year_min is not None else rows
+    return rows.where(year <= year_max) if year_max is not None else rows
+
+
 REASONS = (
     # Reason, weight in the priority.
     ("ambiguous", 3.0),
@@ -130,3 +145,9 @@ def review_queue(df: DataFrame, ties: list[str] | None = None, limit: int | None
 def trend_tables(rows: DataFrame, value: str, by: list[str], smooth: int = 3) -> DataFrame:
     """Trend with its rolling median, in the order of by; the first of by is the one smoothed along."""
     return stats.rolling_median(stats.trend(rows, value, by), "median", by[0], by[1:], smooth).orderBy(*by)
+
+
+def top_trends(trend: DataFrame, label: str, min_n: int = 1, top: int = 6) -> DataFrame:
+    """Of a trend by label its points of min_n rows or more, for the labels whose points have the most rows together."""
+    rows = trend.where(F.col("n") >= min_n)
+    return stats.restrict_top(rows, label, top, F.sum("n"))

@@ -66,6 +66,11 @@ def roll_up(evidence: DataFrame, by: list[str], order: list[str], options: Harve
     )
 
 
+def by_score(rows: DataFrame, score: str = "Score", name: str = "DDB_ID") -> DataFrame:
+    """Candidates, the best first, equal ones by id."""
+    return rows.orderBy(F.desc(score), name)
+
+
 def harvest(files: DataFrame, meta: DataFrame, root: str, options: HarvestOptions = HarvestOptions()) -> DataFrame:
     """The candidate table, best score first and then by id. files: path, content; meta: latest_metadata()."""
     blocks = xml.parse_blocks(files, options.scan_commentary).where("ddb_id <> ''")
@@ -74,4 +79,4 @@ def harvest(files: DataFrame, meta: DataFrame, root: str, options: HarvestOption
     rows = xml.with_metadata(rows, meta).withColumn("XML_RelPath", xml.relative_path(F.col("path"), root))
     front = ["XML_RelPath", "Title", "Place", "Date_Text", "Date_When", "Date_NotBefore", "Date_NotAfter"]
     rest = [c for c in rows.columns if c not in (*front, "ddb_id", "path")]
-    return rows.select(F.col("ddb_id").alias("DDB_ID"), *front, *rest).orderBy(F.desc("Score"), "DDB_ID")
+    return by_score(rows.select(F.col("ddb_id").alias("DDB_ID"), *front, *rest))

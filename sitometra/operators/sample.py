@@ -15,6 +15,11 @@ def strata(df: DataFrame, score: Column, ambiguous: Column, top: int = 80) -> Da
     return rows.where(F.col("Sample_Bin").isin(*numbers.bins(top)))
 
 
+def stratum_sizes(rows: DataFrame) -> DataFrame:
+    """Sample_Bin, Sample_Group and n of every stratum that has rows."""
+    return rows.groupBy("Sample_Bin", "Sample_Group").agg(F.count("*").alias("n"))
+
+
 def stratified(df: DataFrame, key: Column, per_bin: int = 10, seed: int = 42, fill: bool = False) -> DataFrame:
     """Of each bin half ambiguous rows and half others, as far as there are; with fill, others make up the number.
 

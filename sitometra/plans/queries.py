@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import HARVEST_LEXICON, HarvestOptions, Lexicon, LinkOptions
+from ..config import HARVEST_LEXICON, MONEY_NAMES, UNIT_NAMES, HarvestOptions, Lexicon, LinkOptions
 from ..functions import canon, numbers, text
 from ..operators import analyze, harvest, link, sample, stats
 from ..sources import tables, xml
@@ -150,7 +150,7 @@ def main_filter(spark, sf_dir):
 
 @query(f"WITH {_L} SELECT Unit_Canon, Cur_Canon, count(*)::BIGINT AS n, min(PriceNum) AS low, max(PriceNum) AS high FROM l WHERE Unit_Canon = 'artaba' AND Cur_Canon IN ('drachma', 'obol') AND PriceNum > 0 GROUP BY ALL")
 def subset_filter(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where((F.col("Unit_Canon") == "artaba") & F.col("Cur_Canon").isin("drachma", "obol") & (F.col("PriceNum") > 0))
+    rows = analyze.subset(_lines(spark, sf_dir), Unit_Canon="artaba", Cur_Canon=("drachma", "obol")).where("PriceNum > 0")
     return rows.groupBy("Unit_Canon", "Cur_Canon").agg(F.count("*").alias("n"), F.min("PriceNum").alias("low"), F.max("PriceNum").alias("high"))
 
 
@@ -197,6 +197,56 @@ def canon_prefix(spark, sf_dir):
     return rows.select("p_partkey", "Grain_Form", canon.grain(F.col("_n")).alias("Grain_Canon"))
 
 
+_UNIT_FORMS = ("ἀρτάβης", "ΜΕΔΙΜΝΟΙ", "χοίνικες", "κοτύλη", "μετρητής", "γόμφου", "καλάθου", "")
+_COIN_FORMS = ("δραχμαί", "ὀβολός", "δηνάρια", "μνᾶ", "ΤΑΛΑΝΤΟΝ", "σεστέρτιος", "χαλκοῖ", "ἀσσάρια", "νόμισμα", "")
+
+
+def _canon_sql(column: str, names: tuple[tuple[str, str], ...]) -> str:
+    return f"CASE {' '.join(f"WHEN starts_with({column}, '{p}') THEN '{n}'" for p, n in names)} ELSE {column} END"
+
+
+@query(
+    f"""WITH x AS (SELECT p_partkey, lower(strip_accents(list_extract({list(_UNIT_FORMS)}, (p_partkey % {len(_UNIT_FORMS)} + 1)::INT))) AS u, lower(strip_accents(list_extract({list(_COIN_FORMS)}, (p_partkey % {len(_COIN_FORMS)} + 1)::INT))) AS c FROM part)
+SELECT p_partkey, {_canon_sql("replace(u, 'ς', 'σ')", UNIT_NAMES)} AS Unit_Canon, {_canon_sql("replace(c, 'ς', 'σ')", MONEY_NAMES)} AS Cur_Canon FROM x"""
+)
+def canon_units_coins(spark, sf_dir):
+    of = lambda forms: text.norm_greek(F.element_at(F.array(*[F.lit(n) for n in forms]), (F.col("p_partkey") % len(forms) + 1).cast("int")))
+    rows = _t(spark, sf_dir, "part").select("p_partkey", of(_UNIT_FORMS).alias("u"), of(_COIN_FORMS).alias("c"))
+    return rows.select("p_partkey", canon.unit(F.col("u")).alias("Unit_Canon"), canon.currency(F.col("c")).alias("Cur_Canon"))
+
+
+@query("SELECT doc_id, md5(strip_accents(text)) AS bare FROM documents WHERE text IS NOT NULL")
+def strip_accents(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(text.strip_accents("text")).alias("bare"))
+
+
+_LINES = r"""'  ' || p_name || E' \t  ' || p_brand || E' \r\n\t ' || p_size || E'\r' || repeat(p_type || ' ', (p_size % 40)::INT) || E'  \n\n ' || p_partkey || E' \n '"""
+
+
+@query(
+    f"""WITH x AS (SELECT p_partkey, replace(replace({_LINES}, E'\r\n', E'\n'), E'\r', E'\n') AS t FROM part),
+y AS (SELECT p_partkey, left(trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' *\n *', E'\n', 'g'), E' \n'), 500) AS c FROM x) SELECT p_partkey, c AS Context_Clean, replace(c, E'\n', ' ') AS Context_OneLine FROM y"""
+)
+def context_clean(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    raw = F.concat(F.lit("  "), "p_name", F.lit(" \t  "), "p_brand", F.lit(" \r\n\t "), size, F.lit("\r"), F.expr("repeat(p_type || ' ', p_size % 40)"), F.lit("  \n\n "), F.col("p_partkey").cast("string"), F.lit(" \n "))
+    rows = _t(spark, sf_dir, "part").select("p_partkey", text.clean_context(raw).alias("Context_Clean"))
+    return rows.withColumn("Context_OneLine", text.one_line(F.col("Context_Clean")))
+
+
+_NUMERALS = ("κʹ", "ρκεʹ", "xκʹ", "κʹa", "κ", "αβγδεϛʹ", "αβγδεϛζʹ", "ϟʹ")
+
+
+@query(
+    f"""WITH x AS (SELECT o_orderkey, list_extract({list(_NUMERALS)}, (o_orderkey % 8 + 1)::INT) || ' of ' || list_extract({list(_NUMERALS)}, (o_orderkey // 8 % 8 + 1)::INT) AS t FROM orders)
+SELECT o_orderkey, len([w FOR w IN string_split(t, ' ') IF regexp_full_match(w, '[α-ωϛϝϟϡ]{{1,6}}[ʹʹ]')])::INT AS n FROM x"""
+)
+def greek_numerals(spark, sf_dir):
+    of = lambda k: F.element_at(F.array(*[F.lit(n) for n in _NUMERALS]), (k % 8 + 1).cast("int"))
+    written = F.concat_ws(" of ", of(F.col("o_orderkey")), of(F.floor(F.col("o_orderkey") / 8)))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.size(F.regexp_extract_all(written, F.lit(HARVEST_LEXICON.numeral), F.lit(0))).alias("n"))
+
+
 @query("SELECT p_partkey, round(p_size + (1 + p_partkey % 3)::DOUBLE / (2 + p_partkey % 5) + 0.5, 6) AS value FROM part")
 def fraction_parse(spark, sf_dir):
     k = F.col("p_partkey")
@@ -306,6 +356,28 @@ def review_queue(spark, sf_dir):
     return _round(analyze.review_queue(rows, [*_KEYS.split(", "), "PriceNum"], 600).select(*_KEYS.split(", "), "ReviewReason", "ReviewPriority", "Score"), "Score")
 
 
+@query(
+    f"""WITH {_L}, mf AS (SELECT * FROM l WHERE Score >= 60), q AS (SELECT quantile_cont(UnitPrice_raw, 0.99) AS top FROM mf),
+y AS (SELECT mf.*, concat_ws('; ', CASE WHEN Ambiguous = 'yes' THEN 'ambiguous' END, CASE WHEN Score < 60 THEN 'low_score(<60)' END, CASE WHEN UnitPrice_raw >= top THEN 'unitprice_top1pct' END) AS ReviewReason FROM mf, q)
+SELECT ReviewReason, count(*)::BIGINT AS n FROM y WHERE ReviewReason <> '' GROUP BY 1"""
+)
+def review_of_main(spark, sf_dir):
+    """Rows to review come from the main filter's, so a low score is no reason there."""
+    return analyze.review_queue(analyze.main_filter(_lines(spark, sf_dir)), limit=None).groupBy("ReviewReason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_D} SELECT {_KEYS}, YearBin AS Year FROM d WHERE Score >= 30 AND Ambiguous = 'no' AND YearBin BETWEEN 1994 AND 1996 AND Unit_Canon = 'artaba'")
+def graph_filter(spark, sf_dir):
+    rows = analyze.graph_filter(_dated(spark, sf_dir).withColumn("Year", F.col("YearBin")), 30.0, True, 1994, 1996)
+    return analyze.subset(rows, Unit_Canon="artaba").select(*_KEYS.split(", "), "Year")
+
+
+@query(f"WITH {_P}, t AS (SELECT YearBin, Place_Canon, count(*)::BIGINT AS n FROM p GROUP BY ALL HAVING count(*) >= 3), k AS (SELECT Place_Canon FROM t GROUP BY 1 ORDER BY sum(n) DESC, 1 LIMIT 6) SELECT t.* FROM t SEMI JOIN k USING (Place_Canon)")
+def trend_min_n_top(spark, sf_dir):
+    trend = stats.trend(_placed(spark, sf_dir), "UnitPrice_raw", ["YearBin", "Place_Canon"])
+    return analyze.top_trends(trend, "Place_Canon", 3, 6).select("YearBin", "Place_Canon", "n")
+
+
 # --- choosing rows
 
 
@@ -347,6 +419,25 @@ def strat_sample_fill(spark, sf_dir):
     return sample.stratified(_orders_scored(spark, sf_dir), F.col("o_orderkey").cast("string"), 600, fill=True).select("o_orderkey", "Sample_Bin", "Sample_Group")
 
 
+@query(f"WITH {_SAMPLED} SELECT Sample_Bin, Sample_Group, count(*)::BIGINT AS n FROM r GROUP BY 1, 2")
+def stratum_sizes(spark, sf_dir):
+    return sample.stratum_sizes(_orders_scored(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_SAMPLED}, k AS (SELECT * FROM r WHERE o_orderkey % 3 <> 0), t AS (SELECT *, row_number() OVER (PARTITION BY Sample_Bin, Sample_Group ORDER BY draw) AS j FROM k)
+SELECT row_number() OVER (ORDER BY Sample_Bin, s, o_orderkey)::INT AS place, Sample_Bin, Sample_Group, o_orderkey, '' AS Human_Label, '' AS Annotation_Notes FROM t WHERE j <= 5"""
+)
+def sample_table(spark, sf_dir):
+    """The sheet of primary rows to annotate; place is each row's in its order."""
+    k = F.col("o_orderkey")
+    rows = _t(spark, sf_dir, "orders").select(k, F.when(F.col("o_orderpriority").startswith("1"), " YES ").otherwise("no").alias("Ambiguous"), ((k * 7 % 881).cast("double") / 11).alias("Score"), F.when(k % 3 == 0, "no").otherwise(" Yes").alias("Is_Primary"))
+    sheet = sample.sample_rows(rows, ["o_orderkey"], 10)
+    # Its order, made visible: the sheet has at most ten rows a bin.
+    numbered = sheet.coalesce(1).withColumn("place", (F.monotonically_increasing_id() + 1).cast("int"))
+    return numbered.select("place", "Sample_Bin", "Sample_Group", "o_orderkey", "Human_Label", "Annotation_Notes")
+
+
 # --- documents: gates and evidence, with words that the made-up texts have
 
 _LATIN = Lexicon(grain=("th", "la"), unit=("on", "en"), money=("er", "re"), priceword=r"(ing|eau)", half_is_money=False)
@@ -394,7 +485,7 @@ def snippets_topn(spark, sf_dir):
 @query(f"WITH {_ROLL} SELECT row_number() OVER (ORDER BY Block_Match_Count DESC, doc_id)::INT AS place, doc_id, Block_Match_Count FROM g ORDER BY Block_Match_Count DESC, doc_id LIMIT 100")
 def candidate_sort(spark, sf_dir):
     rows = harvest.roll_up(harvest.block_evidence(_document_blocks(spark, sf_dir), _OPTIONS), ["doc_id"], ["block_idx"], _OPTIONS)
-    top = rows.select("doc_id", "Block_Match_Count").orderBy(F.desc("Block_Match_Count"), "doc_id").limit(100)
+    top = harvest.by_score(rows.select("doc_id", "Block_Match_Count"), "Block_Match_Count", "doc_id").limit(100)
     from pyspark.sql import Window
 
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("Block_Match_Count"), "doc_id")))
@@ -410,6 +501,13 @@ def metadata_left_join(spark, sf_dir):
     return xml.with_metadata(docs, xml.latest_metadata(meta))
 
 
+@query("SELECT d.doc_id::VARCHAR AS DDB_ID, 'a/' || d.doc_id || '.xml' AS XML_RelPath, quality AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 3 <> 0")
+def jobs_with_files(spark, sf_dir):
+    jobs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("DDB_ID"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.concat(F.lit(" a\\"), F.col("doc_id").cast("string"), F.lit(".xml "))).alias("XML_RelPath"))
+    files = _t(spark, sf_dir, "labels").select(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("XML_RelPath"), F.col("quality").alias("n"))
+    return tables.with_files(tables.candidate_jobs(jobs), files).select("DDB_ID", "XML_RelPath", "n")
+
+
 @query("SELECT doc_id::VARCHAR AS DDB_ID FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_missing_files(spark, sf_dir):
     jobs = tables.candidate_jobs(_t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("DDB_ID"), F.concat(F.lit(" a\\"), F.col("doc_id").cast("string"), F.lit(".xml ")).alias("XML_RelPath")))
@@ -553,6 +651,12 @@ def emit_policy(spark, sf_dir):
     return link.emit(link.with_primary(_ranked(spark, sf_dir), _MENTION, options), options).select("o_orderkey", "Grain_Index", "rank", "is_primary")
 
 
+@query(f"WITH RECURSIVE {_GREEDY} SELECT r.o_orderkey, r.g::INT AS Grain_Index, rk::INT AS rank FROM r JOIN pm ON pm.o_orderkey = r.o_orderkey AND pm.g = r.g WHERE rk = pk")
+def emit_primary(spark, sf_dir):
+    options = LinkOptions(global_assign=True, emit_only_primary=True)
+    return link.emit(link.with_primary(_ranked(spark, sf_dir), _MENTION, options), options).select("o_orderkey", "Grain_Index", "rank")
+
+
 @query(f"WITH {_RANKED} SELECT r.o_orderkey, g::INT AS Grain_Index, rk::INT AS rank, array_to_string(ws[greatest(low - 1, 0) + 1 : high + 2], ' ') AS context FROM r JOIN b ON b.o_orderkey = r.o_orderkey WHERE rk <= 2")
 def context_window(spark, sf_dir):
     rows = _ranked(spark, sf_dir).where("rank <= 2")

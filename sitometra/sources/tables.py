@@ -27,6 +27,11 @@ def candidate_jobs(candidates: DataFrame, max_docs: int = 0) -> DataFrame:
     return rows.orderBy("DDB_ID", "XML_RelPath").limit(max_docs) if max_docs > 0 else rows
 
 
+def with_files(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """Jobs with what files have on their XML_RelPath; jobs whose file is not there are left out."""
+    return files.join(jobs, "XML_RelPath")
+
+
 def missing_files(jobs: DataFrame, files: DataFrame, left: str = "XML_RelPath", right: str = "rel_path") -> DataFrame:
     """Jobs whose file is not there."""
     return jobs.join(files, jobs[left] == files[right], "left_anti")

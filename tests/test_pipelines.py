@@ -1,5 +1,6 @@
 import pytest
 
+from sitometra import __main__ as command
 from sitometra.config import HarvestOptions, LinkOptions, SampleOptions
 from sitometra.plans import pipelines
 from sitometra.sources import tables
@@ -59,3 +60,22 @@ def test_missing_files_and_append(spark, corpus, tmp_path):
         linked = pipelines.run_link(spark, rows, str(corpus), out, mode="append")
         assert [tuple(r) for r in linked.missing.collect()] == [("d;x", "sub0/nowhere.xml")]
         assert tables.read_csv(spark, out).count() == times * linked.rows.count() > 0
+
+
+def test_command_line(spark, corpus, tmp_path):
+    of = lambda name: str(tmp_path / name)
+    assert command.run(spark, ["harvest", str(corpus), str(corpus), of("c")]) == {"candidates": 12}
+    counts = command.run(spark, ["link", of("c"), str(corpus), of("l"), of("m"), "--topk", "2"])
+    assert counts == {"files": 12, "parsed": 12, "not_parsed": 0, "missing": 0, "rows": 24, "mentions": 12}
+    made = command.run(spark, ["analyze", of("l"), of("a"), "--min-n", "2", "--drop-ambiguous"])
+    assert made["primary"] == 12 and made["chart_scatter"] == made["main"]
+    assert command.run(spark, ["graphs", of("a/primary"), of("g"), "--winsor", "0.05", "0.95", "--year-min", "9999"])["scatter"] == 0
+    assert command.run(spark, ["sample", of("l"), of("s"), "--max-score", "100", "--allow-fill"])["sampled"] > 0
+    with pytest.raises(FileNotFoundError):
+        command.run(spark, ["sample", of("nothing"), of("s")])
+
+
+def test_files_that_are_broken(spark, corpus):
+    rows = spark.createDataFrame([("d;0", "sub0/0.xml"), ("d;b", "bad.xml")], "DDB_ID string, XML_RelPath string")
+    counts = pipelines.run_link(spark, rows, str(corpus)).counts()
+    assert (counts["files"], counts["parsed"], counts["not_parsed"], counts["missing"]) == (2, 1, 1, 0)
