@@ -193,8 +193,12 @@ def train(docs: DataFrame, *, order: int = 3, sample_docs: int = 1500) -> Model:
         pad = b"\n" * order
         for batch in batches:
             for lang, part in batch.groupby("lang"):
-                data = np.frombuffer(b"".join(pad + t.encode("utf-8") for t in part["text"]) or pad, np.uint8)
-                codes, n = np.unique(grams(data, order), return_counts=True)
+                texts = [pad + t.encode("utf-8") for t in part["text"]]
+                # A pad is context only: its own bytes are not counted, so counts do not depend on which texts meet in a batch.
+                own = np.ones(sum(map(len, texts)), bool)
+                own[(np.cumsum([len(t) for t in texts])[:, None] - 1 - np.arange(order)).ravel()] = False
+                found = grams(np.frombuffer(b"".join(texts), np.uint8), order)
+                codes, n = np.unique(found[own[: len(found)]], return_counts=True)
                 yield pd.DataFrame({"lang": lang, "code": codes.astype(np.int64), "n": n})
 
     found = sample.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
