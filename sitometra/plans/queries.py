@@ -220,6 +220,16 @@ def strip_accents(spark, sf_dir):
     return _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(text.strip_accents("text")).alias("bare"))
 
 
+_FOLDED = "replace(lower(strip_accents(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')))), 'ß', 'ss')"
+
+
+@query(f"SELECT doc_id, md5({_FOLDED}) AS searched, md5({_FOLDED}) AS analysed FROM documents WHERE text IS NOT NULL")
+def normalize_documents(spark, sf_dir):
+    """Both normal forms of whole texts; they agree where no accent stands for white space."""
+    rows = _t(spark, sf_dir, "documents").where("text is not null")
+    return rows.select("doc_id", F.md5(text.normalize_for_search("text")).alias("searched"), F.md5(text.norm_greek("text")).alias("analysed"))
+
+
 _LINES = r"""'  ' || p_name || E' \t  ' || p_brand || E' \r\n\t ' || p_size || E'\r' || repeat(p_type || ' ', (p_size % 40)::INT) || E'  \n\n ' || p_partkey || E' \n '"""
 
 
