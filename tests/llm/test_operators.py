@@ -297,6 +297,33 @@ def test_perplexity_by_brute_force(spark):
         assert got[i, lang] == pytest.approx(want, rel=1e-9), (i, lang)
 
 
+def test_quality_learns_from_all_trusted_text(spark):
+    words = "the a cat dog hat mat sat ate on and with red big old ran".split()
+    rng = np.random.default_rng(3)
+    rows = [(i, "en", " ".join(rng.choice(words, 12))) for i in range(24)] + [(i, "de", f"{t} und") for i, t in ((30, "der hund"), (31, "die katze"))]
+    rows += [(40, "en", rows[0][2]), (41, "en", "zq xj 0#"), (42, "de", "das haus"), (43, "fr", "le chat"), (2, "en", rows[2][2]), (None, "en", "a cat"), (50, "it", "uno"), (51, "it", "due tre")]
+    bad, unlabelled = (5, 41, 42), (40, 43, 51, None)
+    labels = [(i, 0 if i in bad else 1) for i, _, _ in rows if i not in unlabelled] + [(6, 1), (6, 0)]
+    good = {i for i, q in labels if q} - {6}
+    trusted = [(lang, t.encode()) for i, lang, t in rows if i in good]
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, lang string, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    want, unseen = [], {}
+    for i, lang, t in rows:
+        fold = zlib.crc32(t.encode()) % 4
+        all_ = [x for k, x in trusted if k == lang]
+        others = [x for x in all_ if zlib.crc32(x) % 4 != fold]
+        p = brute_perplexity(others if i in good and others else all_, t.encode(), 4) if all_ else 256
+        want.append((str(i), p))
+        if i in good and others:
+            unseen.setdefault(lang, []).append(p)
+    for (i, p), (j, q) in zip(sorted((str(r.doc_id), r.perplexity) for r in got), sorted(want), strict=True):
+        assert i == j and p == pytest.approx(q, rel=1e-9), i
+    assert "en" in unseen and "it" not in unseen and len(unseen["en"]) == 23
+    for r in got:
+        own = sorted(unseen.get(r.lang) or [x.perplexity for x in got if x.lang == r.lang])
+        assert r.threshold == pytest.approx(own[int(np.ceil(0.99 * len(own))) - 1], rel=1e-4) and r.kept == (r.perplexity <= r.threshold)
+
+
 def test_kneser_ney_sums_to_one(spark):
     text = spark.createDataFrame([("en", "abracadabra abra cad")], "lang string, text string")
     levels = quality.model(quality.counts(text, 3), 3)
