@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from ..sources.store import cut
 
-#: Distinct values, of all groups together, that one task may hold; and pieces of a larger group's range.
-HELD, PIECES = 1_000_000, 64
+#: Values, of all groups together, that are aggregated whole; pieces of a larger group's range; groups that are sent to all tasks.
+HELD, PIECES, FEW = 1_000_000, 4096, 100_000
 
 
 def _q(c: str | Column, p: float) -> Column:
     return F.percentile(c, F.lit(p))
 
 
-def _counted(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """_g (the columns of by as one), _v, _c: how often each group has each value, as a written table; nulls are left out."""
+def _valued(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """_g (the columns of by as one) and _v of each row, as a written table; nulls are left out."""
     group = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in by]).alias("_g")
-    rows = df.select(group, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    return cut(rows.groupBy("_g", "_v").agg(F.count("*").alias("_c")))
+    return cut(df.select(group, F.col(value).cast("double").alias("_v")).where("_v is not null"))
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A written table of groups, sent to all tasks if it can be: dealt by group, a few groups would be as many tasks."""
+    return F.broadcast(table) if table.count() <= FEW else table
 
 
 def _between(p: float, low: Column, high: Column) -> Column:
@@ -28,47 +32,81 @@ def _between(p: float, low: Column, high: Column) -> Column:
     return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
 
 
-def _quantiles(counted: DataFrame, wanted: dict[str, float], held: int) -> DataFrame:
-    """_g, _n (how many values) and the exact quantiles, linear between neighbouring ranks.
+def _pieces(log: bool) -> Column:
+    """The piece of the range from _lo to _hi that _v is in: both ends are pieces of their own, so a range always gets smaller."""
+    scaled = lambda c: F.signum(c) * F.log1p(F.abs(c))
+    part = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    if log:
+        part = F.coalesce(F.try_divide(scaled("_v") - F.col("_slo"), F.col("_shi") - F.col("_slo")), part)
+    inner = 1 + F.least(F.lit(PIECES - 3), F.floor(F.nanvl(part, F.lit(0.0)) * (PIECES - 2))).cast("int")
+    return F.when(F.col("_v") >= F.col("_hi"), PIECES - 1).when(F.col("_v") <= F.col("_lo"), 0).otherwise(inner)
+
+
+def _inside(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """rows that are in one of their group's ranges, with it."""
+    ranges = _few(ranges).withColumnRenamed("_g", "_h")
+    return rows.join(ranges, (F.col("_g") == F.col("_h")) & F.col("_v").between(F.col("_lo"), F.col("_hi"))).drop("_h")
+
+
+def _hit(counts: DataFrame, ranges: DataFrame, order: str) -> DataFrame:
+    """Of the parts of ranges (_g, _lo, _m rows, from _a to _b) those that hold a wanted rank, as ranges."""
+    rows = counts.join(ranges.select("_g", "_lo", "_before", "_ranks"), ["_g", "_lo"])
+    along = Window.partitionBy("_g", "_lo").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_m").over(along), F.lit(0)))
+    here = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m")))
+    return rows.select("_g", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), "_before", F.col("_m").alias("_size"), here.alias("_ranks")).where(F.size("_ranks") > 0)
+
+
+def _quantiles(rows: DataFrame, wanted: dict[str, float], held: int, most: int) -> DataFrame:
+    """_g, _n (how many values) and the exact quantiles, linear between neighbouring ranks, as a written table.
 
-    counted: a written table of _g, _v, _c. With up to `held` distinct values in all,
-    groups are aggregated whole. Beyond that approximate quantiles of a group's
-    distinct values cut its range into pieces; the pieces' counts tell in which of
-    them a wanted rank lies, and only those are sorted, each as a task's window.
+    rows: _g and _v, made from a written table of `most` rows. Up to `held` are aggregated whole.
+    Beyond that each group's range is cut into pieces, whose counts tell which of them
+    hold a wanted rank; these are cut again, until no more than `held` rows are left.
+    Every pass reads the rows once and shuffles counts only.
     """
     names = list(wanted)
-    if counted.count() <= held:
-        found = F.percentile("_v", F.array(*[F.lit(float(p)) for p in wanted.values()]), F.col("_c"))
-        out = counted.groupBy("_g").agg(F.sum("_c").alias("_n"), found.alias("_q"))
-        return out.select("_g", "_n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
-    ends = F.percentile_approx("_v", [i / PIECES for i in range(1, PIECES)], 20 * PIECES)
-    # A group of few distinct values is one piece.
-    groups = cut(counted.groupBy("_g").agg(F.sum("_c").alias("_n"), F.when(F.count("*") > 20 * PIECES, ends).alias("_ends")))
-    piece = sum((F.coalesce((F.col("_v") > F.get("_ends", F.lit(i))).cast("int"), F.lit(0)) for i in range(PIECES - 1)), F.lit(0))
-    rows = cut(counted.join(groups, "_g").select("_g", "_v", "_c", "_n", piece.alias("_piece")))
-    along = Window.partitionBy("_g").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("_g", "_piece").agg(F.sum("_c").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(along), F.lit(0)))
-    ranks = [f((F.col("_n") - 1) * F.lit(float(p))) for p in wanted.values() for f in (F.floor, F.ceil)]
-    here = lambda start, size: [(r >= F.col(start)) & (r < F.col(start) + F.col(size)) for r in ranks]
-    hit = sums.join(groups.select("_g", "_n"), "_g").where(F.array_contains(F.array(*here("_before", "_m")), F.lit(True))).select("_g", "_piece", "_before")
-    inside = Window.partitionBy("_g", "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(hit, ["_g", "_piece"]).withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-    found = rows.groupBy("_g").agg(F.max("_n").alias("_n"), *[F.max(F.when(x, F.col("_v"))).alias(f"_r{i}") for i, x in enumerate(here("_at", "_c"))])
-    return found.select("_g", "_n", *[_between(p, F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")).alias(name) for i, (name, p) in enumerate(wanted.items())])
+    if most <= held:
+        found = F.percentile("_v", F.array(*[F.lit(float(p)) for p in wanted.values()]))
+        out = rows.groupBy("_g").agg(F.count("*").alias("_n"), found.alias("_q"))
+        return cut(out.select("_g", "_n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)]))
+    groups = cut(rows.groupBy("_g").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    ranks = [f((F.col("_n") - 1) * F.lit(float(p))).cast("long") for p in wanted.values() for f in (F.floor, F.ceil)]
+    ranges = groups.select("_g", "_lo", "_hi", F.lit(0).cast("long").alias("_before"), F.col("_n").alias("_size"), F.array_distinct(F.array(*ranks)).alias("_ranks"))
+    done, first = [], True
+    while left := (ranges.where("_lo < _hi").agg(F.sum("_size")).first()[0] or 0):
+        done.append(ranges.where("_lo >= _hi"))
+        ranges = ranges.where("_lo < _hi")
+        if left <= held:
+            counts = _inside(rows, ranges).groupBy("_g", "_lo", "_v").agg(F.count("*").alias("_m"))
+            ranges = _hit(counts.withColumn("_a", F.col("_v")).withColumn("_b", F.col("_v")), ranges, "_v")
+            break
+        # The first cut is by magnitude, so that a few far values do not leave all others in one piece.
+        scaled = lambda c: F.signum(c) * F.log1p(F.abs(c))
+        ends = ranges.withColumn("_slo", scaled("_lo")).withColumn("_shi", scaled("_hi")) if first else ranges
+        inside = _inside(rows, ends.drop("_before", "_size", "_ranks")).withColumn("_piece", _pieces(first))
+        counts = inside.groupBy("_g", "_lo", "_piece").agg(F.count("*").alias("_m"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        ranges, first = cut(_hit(counts, ranges, "_piece")), False
+    for part in done:
+        ranges = ranges.unionByName(part)
+    values = ranges.select("_g", "_lo", F.explode("_ranks").alias("_rank")).join(groups.select("_g", "_n"), "_g")
+    at = [F.max(F.when(F.col("_rank") == r, F.col("_lo"))).alias(f"_r{i}") for i, r in enumerate(ranks)]
+    found = values.groupBy("_g").agg(F.max("_n").alias("_n"), *at)
+    return cut(found.select("_g", "_n", *[_between(p, F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")).alias(name) for i, (name, p) in enumerate(wanted.items())]))
 
 
 def quantiles(df: DataFrame, value: str, by: list[str], wanted: dict[str, float], held: int = HELD) -> DataFrame:
     """The columns of by, n and the wanted quantiles of the groups that have a value; no row for an empty table."""
-    out = _quantiles(_counted(df, value, by), wanted, held)
+    rows = _valued(df, value, by)
+    out = _quantiles(rows, wanted, held, rows.count())
     return out.select(*[F.col("_g")[c].alias(c) for c in by], F.col("_n").alias("n"), *wanted)
 
 
-def _spread(counted: DataFrame, held: int) -> DataFrame:
-    """_g, _med, _mad: each group's median, and the median of the distances from it."""
-    med = cut(_quantiles(counted, {"_med": 0.5}, held).drop("_n"))
-    # Two values at most have the same distance: they need not be counted anew.
-    far = counted.join(med, "_g").select("_g", F.abs(F.col("_v") - F.col("_med")).alias("_v"), "_c")
-    return med.join(_quantiles(cut(far), {"_mad": 0.5}, held).drop("_n"), "_g")
+def _spread(rows: DataFrame, held: int, most: int) -> DataFrame:
+    """_g, _med, _mad: each group's median, and the median of the distances from it, as a written table."""
+    med = _quantiles(rows, {"_med": 0.5}, held, most).drop("_n")
+    far = rows.join(_few(med), "_g").select("_g", F.abs(F.col("_v") - F.col("_med")).alias("_v"))
+    return cut(med.join(_quantiles(far, {"_mad": 0.5}, held, most).drop("_n"), "_g"))
 
 
 def trend(df: DataFrame, value: str, by: list[str], held: int = HELD) -> DataFrame:
@@ -94,7 +132,8 @@ def price_index(df: DataFrame, order: str, first: int, last: int) -> DataFrame:
 
 def mad(df: DataFrame, value: str, by: list[str], held: int = HELD) -> DataFrame:
     """df with _med and _mad of its group, null in groups without a value; joined back, so that no group is one task's window."""
-    both = _spread(_counted(df, value, by), held).select(*[F.col("_g")[c].alias(f"_k_{c}") for c in by], "_med", "_mad")
+    rows = _valued(df, value, by)
+    both = _few(_spread(rows, held, rows.count())).select(*[F.col("_g")[c].alias(f"_k_{c}") for c in by], "_med", "_mad")
     return df.join(both, [df[c].eqNullSafe(both[f"_k_{c}"]) for c in by], "left").drop(*[f"_k_{c}" for c in by])
 
 
@@ -109,18 +148,18 @@ def group_outliers(df: DataFrame, value: str, by: list[str], prefix: str, z: flo
 def robust_summary(df: DataFrame, value: str, by: list[str], mad_z: float | None = 4.0, winsor: tuple[float, float] | None = None, min_n: int = 1, held: int = HELD) -> DataFrame:
     """n, median, q25, q75 by groups, in logarithms, after trimming by deviation and, if asked, clipping at quantiles.
 
-    All of it works on counts of the distinct values, so df is read once.
+    df is read once; all passes are over the written table of its values.
     """
     rows = df.na.drop(subset=[value, *by]).where((F.col(value) > 0) & (F.col(value) < float("inf"))).withColumn("_z", F.log10(value))
-    counted = _counted(rows, "_z", by)
+    rows = _valued(rows, "_z", by)
+    most = rows.count()
     if mad_z is not None:
         near = F.abs(0.6745 * (F.col("_v") - F.col("_med")) / F.when(F.col("_mad") > 0, F.col("_mad"))) <= mad_z
-        counted = cut(counted.join(_spread(counted, held), "_g").where((F.col("_mad") == 0) | near).select("_g", "_v", "_c"))
+        rows = rows.join(_few(_spread(rows, held, most)), "_g").where((F.col("_mad") == 0) | near).select("_g", "_v")
     if winsor:
-        ends = _quantiles(counted, {"_lo": winsor[0], "_hi": winsor[1]}, held)
-        clipped = counted.join(ends, "_g").withColumn("_v", F.greatest("_lo", F.least("_hi", "_v")))
-        counted = cut(clipped.groupBy("_g", "_v").agg(F.sum("_c").alias("_c")))
-    out = _quantiles(counted, {"median": 0.5, "q25": 0.25, "q75": 0.75}, held)
+        ends = _quantiles(rows, {"_first": winsor[0], "_last": winsor[1]}, held, most).drop("_n")
+        rows = rows.join(_few(ends), "_g").select("_g", F.greatest("_first", F.least("_last", "_v")).alias("_v"))
+    out = _quantiles(rows, {"median": 0.5, "q25": 0.25, "q75": 0.75}, held, most)
     ten = [F.pow(F.lit(10.0), F.col(c)).alias(c) for c in ("median", "q25", "q75")]
     return out.where(F.col("_n") >= min_n).select(*[F.col("_g")[c].alias(c) for c in by], F.col("_n").alias("n"), *ten)
 

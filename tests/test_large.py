@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import duckdb
-import pytest
+from pyspark.sql import functions as F
 
+from sitometra.operators import stats
 from sitometra.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -24,3 +25,15 @@ def test_texts_without_a_token(spark, tmp_path):
     got, want = _rows(spark, tmp_path, "tokens_positions", "documents", TEXTS, "doc_id long, text string")
     assert got == want
     assert got[1][1:] == (0, None, None, -1)
+
+
+def _values(spark, n=3000):
+    return spark.range(n).select((F.col("id") % 3).cast("string").alias("k"), (1 + F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7).alias("x"))
+
+
+def test_quantiles_write_their_values_once(spark, monkeypatch):
+    sizes, cut = [], stats.cut
+    monkeypatch.setattr(stats, "cut", lambda df: sizes.append((out := cut(df)).count()) or out)
+    stats.robust_summary(_values(spark), "x", ["k"], 1.5, (0.05, 0.95), held=0).collect()
+    # All else that is written is a row for each group and wanted rank at most.
+    assert sorted(sizes)[-1] == 3000 and sorted(sizes)[-2] <= 3 * 6
