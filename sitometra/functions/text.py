@@ -1,43 +1,75 @@
-"""Strings. Columns throughout; only Unicode normal forms and case folding need Python, in Arrow batches."""
+"""Strings. Columns throughout; Unicode normal forms and case folding are those of the ICU library that Spark comes with."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+#: What str.split() takes for white space, where it is not one blank already.
+_SPACE = r"(?U)(?: [\s\x1c-\x1f]+|[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*)"
 
-def _bare(s: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
+def _combining() -> str:
+    """Pattern of characters with a combining class. Most are in the block of diacritics; wide gaps between the others are tested before them.
+
+    It names them one by one: Java's own categories are of an older Unicode.
+    """
+    ranges: list[list[int]] = []
+    # Beyond these there are none.
+    for c in range(0x300, 0x1F000):
+        if unicodedata.combining(chr(c)):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    spans = lambda of: "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in of)
+    inside = [c for c in ranges if c[1] < 0x370]
+    gaps = [(0, 0x2FF), *((a + 1, b - 1) for (_, a), (b, _) in zip(ranges, ranges[1:], strict=False) if b - a > 0x100)]
+    return f"[{spans(inside)}[[^{spans(gaps)}]&&[{spans(ranges[len(inside):])}]]]+"
+
+
+_COMBINING = _combining()
+
+
+def _of(c: Column | str) -> Column:
+    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def _icu(name: str, c: Column) -> Column:
+    return F.reflect(F.lit(f"com.ibm.icu.{name.rpartition('.')[0]}"), F.lit(name.rpartition(".")[2]), c, F.lit(True))
+
+
+def _composed(c: Column) -> Column:
+    return _icu("text.Normalizer.compose", c)
+
+
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(_icu("text.Normalizer.decompose", c), _COMBINING, "")
 
-def _searchable(s: str | None) -> str:
-    return _bare(" ".join(unicodedata.normalize("NFKC", s or "").split())).casefold()
 
+def _folded(c: Column) -> Column:
+    return _icu("lang.UCharacter.foldCase", c)
 
-def _analytic(s: str | None) -> str:
-    return " ".join(_bare(unicodedata.normalize("NFKC", s or "")).casefold().split())
 
+def _split(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, _SPACE, " "))
 
-@F.pandas_udf(T.StringType())
-def strip_accents(s: pd.Series) -> pd.Series:
+
+def strip_accents(c: Column | str) -> Column:
     """Decomposed, without combining characters; null as empty."""
-    return s.fillna("").map(_bare)
+    return _bare(_of(c))
 
 
-@F.pandas_udf(T.StringType())
-def normalize_for_search(s: pd.Series) -> pd.Series:
-    """Compatibility form, white space collapsed, accents dropped, case folded, in that order."""
-    return s.map(_searchable)
+def normalize_for_search(c: Column | str) -> Column:
+    """Compatibility form, white space collapsed, accents dropped, case folded, in that order; null as empty."""
+    return _folded(_bare(_split(_composed(_of(c)))))
 
 
-@F.pandas_udf(T.StringType())
-def norm_greek(s: pd.Series) -> pd.Series:
+def norm_greek(c: Column | str) -> Column:
     """As normalize_for_search, but white space last, which matters where dropping accents leaves blanks."""
-    return s.map(_analytic)
+    return _split(_folded(_bare(_composed(_of(c)))))
 
 
 def collapse_ws(c: Column) -> Column:
@@ -81,41 +113,6 @@ def is_yes(c: Column, strip: bool = False) -> Column:
     return F.coalesce(F.lower(F.trim(c) if strip else c) == "yes", F.lit(False))
 
 
-def matches(text: Column, pattern: str, groups: dict[str, int] | None = None) -> Column:
-    """array<struct<word, pos, ...>> of all matches, pos from 0, with the named groups of the pattern.
-
-    One replacement writes each match as a record of the gap before it, itself and its
-    groups, so the text is gone through once; the two marks of fields and records
-    count as blanks in the text.
-    """
-    groups = groups or {}
-    fields = ["gap", "word", *groups]
-    record = "\x01".join(f"${n}" for n in [1, 2, *[g + 2 for g in groups.values()]]) + "\x02"
-    written = F.split(F.regexp_replace(F.translate(text, "\x01\x02", "  "), f"(?s)\\G(.*?)({pattern})", record), "\x02", -1)
-    # What is after the last match is no record.
-    rows = F.transform(F.filter(written, lambda r: r.contains("\x01")), lambda r: F.split(r, "\x01", -1))
-    kind = "".join(f",{g}:string" for g in groups)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<word:string,pos:int{kind}>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        part = {f: F.get(r, F.lit(i)) for i, f in enumerate(fields)}
-        pos = s["at"] + F.length(part["gap"])
-        found = F.struct(part["word"].alias("word"), pos.alias("pos"), *[part[g].alias(g) for g in groups])
-        return F.struct((pos + F.length(part["word"])).alias("at"), F.concat(s["out"], F.array(found)).alias("out"))
-
-    return F.aggregate(rows, state, step, lambda s: s["out"])
-
-
-def token_starts(text: Column) -> Column:
-    """Where each token begins, from 0."""
-    return F.transform(matches(text, r"(?U)\S+"), lambda m: m["pos"])
-
-
-def token_of(starts: Column, pos: Column) -> Column:
-    """Number, from 0, of the last token that begins at pos or before, by the places where tokens begin."""
-    return F.greatest(F.lit(0), F.size(F.filter(starts, lambda s: s <= pos)) - 1)
-
-
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
 

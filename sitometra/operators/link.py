@@ -2,10 +2,16 @@
 
 A block's events are arrays; pairing explodes them within the token window. Blocks
 are dealt by mention before that, so their candidates are ranked where they are made.
+Events are found in Arrow batches: Python's patterns are what defines them.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,31 +33,76 @@ def amount_patterns(stems: tuple[str, ...]) -> list[tuple[str, int | None, int,
     return [(f"(?U){_NUMBER}{_GAP}{w}", 1, 2, 3), (f"(?U){w}{_GAP}{_NUMBER}", 2, 3, 1), (f"(?U){_FRACTION}{_GAP}{w}", None, 1, 2), (f"(?U){w}{_GAP}{_FRACTION}", None, 2, 1)]
 
 
-def amounts(norm: Column, stems: tuple[str, ...], starts: Column) -> Column:
-    """array<struct<tok, value, word>>: numbers beside one of the words. A number may serve twice. starts: of the tokens."""
-    out = []
-    for pattern, whole, fractions, word in amount_patterns(stems):
-        found = text.matches(norm, pattern, {"f": fractions, "w": word} | ({"n": whole} if whole else {}))
+_PAIR = re.compile(r"(\d+)\s*/\s*(\d+)")
+
+
+def parse_number(whole: str | None, fractions: str | None) -> float:
+    """A whole number, if any, plus every n/d of fractions; those over zero do not count."""
+    total = float(whole) if whole else 0.0
+    for n, d in _PAIR.findall(fractions) if fractions else ():
+        if float(d):
+            total += float(n) / float(d)
+    return total
+
+
+class _Found:
+    """Events of one kind, of a batch of texts."""
+
+    def __init__(self, values: bool):
+        self.ends, self.tok, self.word, self.value = [0], [], [], [] if values else None
+
+    def array(self) -> pa.Array:
+        columns = [pa.array(self.tok, pa.int32()), *([pa.array(self.value, pa.float64())] if self.value is not None else []), pa.array(self.word, pa.string())]
+        names = ["tok", "value", "word"] if self.value is not None else ["tok", "word"]
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
+
+
+_WORDS, _AMOUNTS = "array<struct<tok:int,word:string>>", "array<struct<tok:int,value:double,word:string>>"
+
 
-        def event(x: Column, whole: int | None = whole) -> Column:
-            value = text.parse_number(x["n"] if whole else None, x["f"])
-            return F.struct(text.token_of(starts, x["pos"]).alias("tok"), value.alias("value"), x["w"].alias("word"))
+def _finder(grain: str, priceword: str):
+    """Column function: grains, qtys, prices and pricewords of a normalized text. A number may serve twice."""
+    plain = lambda pattern: pattern.replace("(?U)", "")
+    kinds = {"grains": plain(grain), "pricewords": plain(priceword)}
+    near = {k: ("|".join(stems), [(plain(p), *groups) for p, *groups in amount_patterns(stems)]) for k, stems in (("qtys", NEAR_UNIT), ("prices", MONEY))}
 
-        out.append(F.transform(found, (lambda f: lambda x: f(x))(event)))
-    # Most texts have no such word.
-    return F.when(norm.rlike("|".join(stems)), F.concat(*out)).otherwise(F.array().cast("array<struct<tok:int,value:double,word:string>>"))
+    def places(x: str):
+        """The number, from 0, of the last token that begins at a position or before."""
+        if " ".join(x.split()) == x:
+            return lambda pos: x.count(" ", 0, pos)
+        starts = [t.start() for t in re.finditer(r"\S+", x)]
+        return lambda pos: max(0, bisect_right(starts, pos) - 1)
 
+    def find(norm: pa.Array) -> pa.Array:
+        words = [(re.compile(p), _Found(False)) for p in kinds.values()]
+        amounts = [(re.compile(stem), [(re.compile(p), *groups) for p, *groups in patterns], _Found(True)) for stem, patterns in near.values()]
+        for x in norm.to_pylist():
+            x = x or ""
+            place = places(x)
+            for pattern, out in words:
+                for m in pattern.finditer(x):
+                    out.tok.append(place(m.start()))
+                    out.word.append(m.group())
+                out.ends.append(len(out.tok))
+            for stem, patterns, out in amounts:
+                # Most texts have no such word; the last two patterns need a fraction.
+                for pattern, whole, fractions, word in (patterns if "/" in x else patterns[:2]) if stem.search(x) else ():
+                    for m in pattern.finditer(x):
+                        out.tok.append(place(m.start()))
+                        out.value.append(parse_number(m.group(whole) if whole else None, m.group(fractions)))
+                        out.word.append(m.group(word))
+                out.ends.append(len(out.tok))
+        return pa.StructArray.from_arrays([f.array() for _, f in words] + [f.array() for *_, f in amounts], [*kinds, *near])
 
-def words(norm: Column, pattern: str, starts: Column) -> Column:
-    """array<struct<tok, word>> of a pattern's matches."""
-    return F.transform(text.matches(norm, pattern), lambda m: F.struct(text.token_of(starts, m["pos"]).alias("tok"), m["word"].alias("word")))
+    find.__annotations__ = {"norm": pa.Array, "return": pa.Array}
+    return F.arrow_udf(find, f"grains {_WORDS}, pricewords {_WORDS}, qtys {_AMOUNTS}, prices {_AMOUNTS}")
 
 
 def events(df: DataFrame, norm: str = "value_norm", lexicon: Lexicon = LinkOptions().lexicon) -> DataFrame:
     """df with grains, qtys, prices and pricewords."""
-    n, starts = F.col(norm), F.col("_starts")
-    rows = df.withColumn("_starts", text.token_starts(n))
-    return rows.withColumns({"grains": words(n, Lexicon.word(lexicon.grain), starts), "qtys": amounts(n, NEAR_UNIT, starts), "prices": amounts(n, MONEY, starts), "pricewords": words(n, lexicon.priceword, starts)}).drop("_starts")
+    found = _finder(Lexicon.word(lexicon.grain), lexicon.priceword)
+    rows = df.withColumn("_found", found(F.col(norm)))
+    return rows.withColumns({k: F.col(f"_found.{k}") for k in ("grains", "qtys", "prices", "pricewords")}).drop("_found")
 
 
 def deal(df: DataFrame, mention: list[str]) -> DataFrame:
@@ -69,11 +120,12 @@ def candidates(df: DataFrame, window: int = 80, near: int = 8, line_penalty: str
     rows = rows.withColumn("_prices", within("prices")).withColumn("_qtys", within("qtys"))
     rows = rows.withColumn("_k_price", F.size("_prices")).withColumn("_k_qty", F.size("_qtys"))
     rows = rows.select("*", F.posexplode("_prices").alias("price_idx", "_price"))
+    # Of a price, not of each of its candidates.
+    rows = rows.withColumn("d_pw", F.array_min(F.transform("pricewords", lambda w: F.abs(F.col("_price.tok") - w["tok"]))))
     options = F.concat("_qtys", F.array(F.lit(None).cast("struct<tok:int,value:double,word:string>")))
     rows = rows.select("*", F.posexplode(options).alias("qty_idx", "_qty"))
     g, p, q = F.col("_grain.tok"), F.col("_price.tok"), F.col("_qty.tok")
-    d_pw = F.array_min(F.transform("pricewords", lambda w: F.abs(F.col("_price.tok") - w["tok"])))
-    rows = rows.withColumn("d_gp", F.abs(g - p)).withColumn("d_gq", F.abs(g - q)).withColumn("d_pw", d_pw)
+    rows = rows.withColumn("d_gp", F.abs(g - p)).withColumn("d_gq", F.abs(g - q))
     rows = rows.withColumn("low", F.least(g, p, q)).withColumn("high", F.greatest(g, p, q)).withColumn("span", F.col("high") - F.col("low"))
     lines = F.lit(0)
     if line_penalty == "fixed":
@@ -100,36 +152,62 @@ def rank(cands: DataFrame, mention: list[str], min_score: float = 55.0, delta: f
     return rows.select(*[c for c in rows.columns if c != "_next"], *[alt(c) for c in ("score", "qty_value", "qty_unit", "price_value", "price_cur")])
 
 
-def primaries(ranked: DataFrame, mention: list[str], reuse_score: float = 80.0, reuse_dgp: int = 12, reuse_span: int = 18) -> DataFrame:
-    """mention, Grain_Index, primary_rank: a fold over a mention's candidates, best first.
+def _greedy(reuse_score: float, reuse_dgp: int, reuse_span: int):
+    """Column function: for each of a mention's candidates its grain's primary rank.
 
-    A grain takes the first candidate whose price is free, or whose score and
-    distances allow a price to be used twice; grains left over take their first rank.
+    A fold over the candidates, best first. A grain takes the first one whose price is
+    free, or whose score and distances allow a price to be used twice; grains left over
+    take their first rank.
     """
-    key = F.struct(
-        (-F.col("score")).alias("a"), F.col("qty_tok").isNull().alias("b"), F.col("span").alias("c"), F.col("d_gp").alias("d"), F.coalesce("d_pw", F.lit(FAR)).alias("e"), F.col("price_tok").alias("f"),
-        F.col("Grain_Index").alias("g"), F.col("rank").alias("r"), F.col("score").alias("s"),
-    )
-    lists = ranked.groupBy(*mention).agg(F.array_sort(F.collect_list(key)).alias("all"))
-    state = F.struct(F.array().cast("array<int>").alias("used"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>")).alias("taken"))
 
-    def step(s: Column, x: Column) -> Column:
-        free = ~F.array_contains(s["used"], x["f"])
-        again = (x["s"] >= reuse_score) & (x["d"] <= reuse_dgp) & (x["c"] <= reuse_span)
-        take = ~F.map_contains_key(s["taken"], x["g"]) & (free | again)
-        return F.struct(F.when(take, F.array_union(s["used"], F.array(x["f"]))).otherwise(s["used"]).alias("used"), F.when(take, F.map_concat(s["taken"], F.create_map(x["g"], x["r"]))).otherwise(s["taken"]).alias("taken"))
+    def choose(score: pa.Array, qty_tok: pa.Array, span: pa.Array, d_gp: pa.Array, d_pw: pa.Array, price_tok: pa.Array, grain: pa.Array, rank: pa.Array) -> pa.Array:
+        of = lambda c, null: np.asarray(c.flatten().fill_null(null))
+        s, none, c, d, e, f, g, r = of(score, 0.0), np.asarray(qty_tok.flatten().is_null()), of(span, 0), of(d_gp, 0), of(d_pw, FAR), of(price_tok, 0), of(grain, 0), of(rank, 0)
+        sizes = np.asarray(score.value_lengths())
+        order = np.lexsort((r, g, f, e, d, c, none, -s, np.repeat(np.arange(len(sizes)), sizes)))
+        again = ((s >= reuse_score) & (d <= reuse_dgp) & (c <= reuse_span))[order].tolist()
+        prices, grains, ranks, all_grains = f[order].tolist(), g[order].tolist(), r[order].tolist(), g.tolist()
+        out, ends, at = [], [0], 0
+        for n in sizes.tolist():
+            used, taken = set(), {}
+            for i in range(at, at + n):
+                if grains[i] not in taken and (again[i] or prices[i] not in used):
+                    taken[grains[i]] = ranks[i]
+                    used.add(prices[i])
+            out += [taken.get(x, 1) for x in all_grains[at : at + n]]
+            at += n
+            ends.append(at)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))
+
+    choose.__annotations__ = dict.fromkeys(choose.__annotations__, pa.Array)
+    return F.arrow_udf(choose, "array<int>")
+
+
+_CHOICE = ("score", "qty_tok", "span", "d_gp", "d_pw", "price_tok", "Grain_Index", "rank")
+
+
+def primaries(ranked: DataFrame, mention: list[str], reuse_score: float = 80.0, reuse_dgp: int = 12, reuse_span: int = 18) -> DataFrame:
+    """mention, Grain_Index, primary_rank: the candidate that each grain takes."""
+    lists = ranked.groupBy(*mention).agg(F.collect_list(F.struct(*_CHOICE)).alias("_all"))
+    chosen = _greedy(reuse_score, reuse_dgp, reuse_span)(*[F.col(f"_all.{c}") for c in _CHOICE])
+    pairs = F.array_distinct(F.arrays_zip(F.col("_all.Grain_Index").alias("Grain_Index"), F.col("_primary").alias("primary_rank")))
+    return lists.withColumn("_primary", chosen).select(*mention, F.inline(pairs).alias("Grain_Index", "primary_rank"))
+
 
-    taken = lists.select(*mention, F.aggregate("all", state, step, lambda s: s["taken"]).alias("taken"), F.array_distinct(F.transform("all", lambda x: x["g"])).alias("grains"))
-    rows = taken.select(*mention, "taken", F.explode("grains").alias("Grain_Index"))
-    return rows.select(*mention, "Grain_Index", F.coalesce(F.try_element_at("taken", F.col("Grain_Index")), F.lit(1)).alias("primary_rank"))
+#: Columns that all candidates of a mention have alike, wherever they are there.
+_BLOCK = ("div_idx", "block_idx", "block_tag", "raw_text", "value_text", "num_values", "num_texts", "num_tag_count", "norm", "grain_hits", "unit_hits", "money_hits", "priceword_hit", "unit_signal", "value_norm", "grains", "qtys", "prices", "pricewords")
 
 
 def with_primary(ranked: DataFrame, mention: list[str], options: LinkOptions = LinkOptions()) -> DataFrame:
+    """ranked with is_primary. A mention's candidates meet once and are dealt out again, so that they are made once."""
     if not options.global_assign:
         return ranked.withColumn("is_primary", F.col("rank") == 1)
-    chosen = primaries(ranked, mention, options.reuse_score, options.reuse_max_dgp, options.reuse_max_span)
-    rows = ranked.join(chosen, [*mention, "Grain_Index"])
-    return rows.withColumn("is_primary", F.col("rank") == F.col("primary_rank")).drop("primary_rank")
+    same = [c for c in ranked.columns if c in (*_BLOCK, *META) and c not in mention]
+    own = [c for c in ranked.columns if c not in (*same, *mention)]
+    lists = ranked.groupBy(*mention).agg(F.collect_list(F.struct(*own)).alias("_all"), *[F.first(c).alias(c) for c in same])
+    chosen = _greedy(options.reuse_score, options.reuse_max_dgp, options.reuse_max_span)(*[F.col(f"_all.{c}") for c in _CHOICE])
+    rows = lists.withColumn("_primary", chosen).select(*mention, *same, F.explode(F.arrays_zip(F.col("_all").alias("own"), F.col("_primary").alias("rank"))).alias("_x"))
+    return rows.select(*mention, *same, "_x.own.*", (F.col("_x.own.rank") == F.col("_x.rank")).alias("is_primary")).select(*ranked.columns, "is_primary")
 
 
 def emit(rows: DataFrame, options: LinkOptions = LinkOptions()) -> DataFrame:

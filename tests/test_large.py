@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import duckdb
 from pyspark.sql import functions as F
 
-from sitometra.operators import stats
+from sitometra.functions import text
+from sitometra.operators import link, stats
 from sitometra.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -37,3 +40,23 @@ def test_quantiles_write_their_values_once(spark, monkeypatch):
     stats.robust_summary(_values(spark), "x", ["k"], 1.5, (0.05, 0.95), held=0).collect()
     # All else that is written is a row for each group and wanted rank at most.
     assert sorted(sizes)[-1] == 3000 and sorted(sizes)[-2] <= 3 * 6
+
+
+def test_normal_forms_are_those_of_python(spark):
+    every = [chr(c) for c in range(1, 0x1F000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = ["", "ἈΡΤΑΒΩ͂Ν  ﬁ ½ ß\x1f\x1cΣΊΤΟΣ 　", " \t ", "a ́b  çͅ", *("x" + "".join(every[i : i + 40]) for i in range(0, len(every), 40))]
+    bare = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    nfkc = lambda s: unicodedata.normalize("NFKC", s)
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", text.strip_accents("t").alias("a"), text.normalize_for_search("t").alias("b"), text.norm_greek("t").alias("c"))
+    for t, a, b, c in rows.collect():
+        t = t or ""
+        assert (a, b, c) == (bare(t), bare(" ".join(nfkc(t).split())).casefold(), " ".join(bare(nfkc(t)).casefold().split()))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_of_odd_texts(spark):
+    texts = [None, "", "  πυρου  αρταβαι 3\n1/2 δραχμαι\t4/0 ", "πυρου αρταβαι 3 1/2 δραχμαι 4 1/0 1/4", "12 1/2 1/3 αρταβων"]
+    rows = link.events(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value_norm string")).orderBy("i").collect()
+    assert [[e.tok for e in r.grains] for r in rows] == [[], [], [0], [0], []]
+    assert [[(e.tok, round(e.value, 6), e.word) for e in r.qtys] for r in rows] == [[], [], [(1, 3.5, "αρταβαι")], [(1, 3.5, "αρταβαι")], [(0, 12.833333, "αρταβων"), (2, 0.333333, "αρταβων")]]
+    assert [[(e.tok, round(e.value, 6)) for e in r.prices] for r in rows] == [[], [], [(2, 3.5), (4, 4.0), (3, 0.5), (4, 0.0)], [(2, 3.5), (4, 4.25), (3, 0.5)], []]
