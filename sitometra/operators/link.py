@@ -106,7 +106,10 @@ def events(df: DataFrame, norm: str = "value_norm", lexicon: Lexicon = LinkOptio
 
 
 def deal(df: DataFrame, mention: list[str]) -> DataFrame:
-    """df in as many parts as a shuffle has: by their bytes, which are few for the work on them, they would be made fewer."""
+    """df in as many parts as a shuffle has: by their bytes, which are few for the work on them, they would be made fewer.
+
+    Spark does not know the parts any more behind a Python function: for ranking they are dealt after it.
+    """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *mention)
 
 
@@ -115,11 +118,13 @@ def candidates(df: DataFrame, window: int = 80, near: int = 8, line_penalty: str
 
     df: grains, qtys, prices, pricewords, unit_signal (whether the block has a unit word).
     """
-    rows = df.select("*", F.posexplode("grains").alias("_g", "_grain")).withColumn("Grain_Index", F.col("_g") + 1)
+    # The outer form with its own filter: for the plain one Spark adds a filter on the array's size, moves it below and finds the events twice.
+    every = lambda rows, c, *names: rows.select("*", F.posexplode_outer(c).alias(*names)).where(F.col(names[0]).isNotNull())
+    rows = every(df, "grains", "_g", "_grain").withColumn("Grain_Index", F.col("_g") + 1)
     within = lambda c: F.filter(c, lambda e: F.abs(e["tok"] - F.col("_grain.tok")) <= window)
     rows = rows.withColumn("_prices", within("prices")).withColumn("_qtys", within("qtys"))
     rows = rows.withColumn("_k_price", F.size("_prices")).withColumn("_k_qty", F.size("_qtys"))
-    rows = rows.select("*", F.posexplode("_prices").alias("price_idx", "_price"))
+    rows = every(rows, "_prices", "price_idx", "_price")
     # Of a price, not of each of its candidates.
     rows = rows.withColumn("d_pw", F.array_min(F.transform("pricewords", lambda w: F.abs(F.col("_price.tok") - w["tok"]))))
     options = F.concat("_qtys", F.array(F.lit(None).cast("struct<tok:int,value:double,word:string>")))

@@ -8,6 +8,7 @@ import unicodedata
 import duckdb
 from pyspark.sql import functions as F
 
+from sitometra.config import LinkOptions
 from sitometra.functions import text
 from sitometra.operators import link, stats
 from sitometra.plans.queries import ORACLE_SQL, QUERIES
@@ -93,3 +94,25 @@ def test_greedy_choice_by_brute_force(spark):
     assert {(r.m, r.Grain_Index): r.primary_rank for r in chosen.collect()} == want and chosen.count() == len(want)
     # Folds in lambdas took most of the time.
     assert "aggregate(" not in chosen._jdf.queryExecution().optimizedPlan().toString().replace("Aggregate", "")
+
+
+def test_primaries_are_marked_without_making_candidates_twice(spark):
+    ranked = _competing(spark)
+    by = {}
+    for r in ranked.collect():
+        by.setdefault(r["m"], []).append(r.asDict())
+    want = {(m, g, k): k == pk for m, rows in by.items() for (g, k), pk in _chosen(rows).items()}
+    marked = link.with_primary(ranked, ["m"], LinkOptions(global_assign=True))
+    assert marked.columns == [*ranked.columns, "is_primary"]
+    assert {(r.m, r.Grain_Index, r["rank"]): r.is_primary for r in marked.collect()} == want and marked.count() == ranked.count()
+    assert "Join" not in marked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_events_are_found_once_and_candidates_stay_where_they_are(spark):
+    plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    for name in ("event_extract", "nearest_priceword", "band_join_candidates", "confidence_score", "mention_amounts"):
+        assert plan(name).count("Exchange ") == 1 and plan(name).count("ArrowEvalPython") == 1
+    for name in ("rank_topk", "ambiguity_lead"):
+        assert plan(name).count("Exchange ") == 2 and plan(name).count("ArrowEvalPython") == 1
+    for name in ("greedy_primary", "emit_policy", "emit_primary"):
+        assert plan(name).count("Exchange ") == 2 and plan(name).count("ArrowEvalPython") == 2
