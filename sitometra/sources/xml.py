@@ -8,7 +8,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +17,28 @@ TEI = "{http://www.tei-c.org/ns/1.0}"
 BLOCKS, MARKS = ("ab", "p", "seg", "l"), ("lb", "cb", "pb")
 BLOCK_SCHEMA = "path string, ddb_id string, div_idx int, block_idx int, block_tag string, raw_text string, value_text string, num_values array<string>, num_texts array<string>, num_tag_count int"
 META_SCHEMA = "path string, ddb_id string, Title string, Place string, Date_Text string, Date_When string, Date_NotBefore string, Date_NotAfter string"
+#: Files whose rows are held at once by a task.
+_FILES = 500
+_TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
+def _rows_of(files: DataFrame, rows_of, schema: str) -> DataFrame:
+    """The rows that rows_of gives for each path and content, a few files at a time. ParseError and TypeError give none."""
+    fields = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in schema.split(", ")])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _FILES):
+                part, out = batch.slice(at, _FILES), []
+                for path, content in zip(part["path"], part["content"], strict=True):
+                    try:
+                        out += rows_of(path.as_py(), content.as_py())
+                    except (ET.ParseError, TypeError):
+                        continue
+                columns = zip(*out, strict=True) if out else [()] * len(fields)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    return files.select("path", "content").mapInArrow(work, schema)
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,58 +109,38 @@ def document_blocks(content: bytes, scan_commentary: bool = False, join_inline:
 def parse_blocks(files: DataFrame, scan_commentary: bool = False, join_inline: bool = False) -> DataFrame:
     """One row per block that has text (BLOCK_SCHEMA). Files that are not well formed have none."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    name, rows = document_blocks(bytes(content), scan_commentary, join_inline)
-                except (ET.ParseError, TypeError):
-                    continue
-                out += [(path, name, *r) for r in rows if r[3]]
-            yield pd.DataFrame(out, columns=names)
+    def rows_of(path: str, content: bytes) -> list[tuple]:
+        name, rows = document_blocks(content, scan_commentary, join_inline)
+        return [(path, name, *r) for r in rows if r[3]]
 
-    return files.mapInPandas(work, BLOCK_SCHEMA)
+    return _rows_of(files, rows_of, BLOCK_SCHEMA)
 
 
 def parse_status(files: DataFrame) -> DataFrame:
     """path and parsed: whether the file is well formed."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ok = []
-            for content in batch["content"]:
-                try:
-                    ok.append(bool(len(ET.fromstring(bytes(content)))) or True)
-                except (ET.ParseError, TypeError):
-                    ok.append(False)
-            yield pd.DataFrame({"path": batch["path"], "parsed": ok})
+    def rows_of(path: str, content: bytes) -> list[tuple]:
+        try:
+            ET.fromstring(content)
+        except (ET.ParseError, TypeError):
+            return [(path, False)]
+        return [(path, True)]
 
-    return files.mapInPandas(work, "path string, parsed boolean")
+    return _rows_of(files, rows_of, "path string, parsed boolean")
 
 
 def parse_metadata(files: DataFrame) -> DataFrame:
     """One row per metadata file that has an id (META_SCHEMA); what is missing is empty."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in META_SCHEMA.split(", ")]
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    root = ET.fromstring(bytes(content))
-                except (ET.ParseError, TypeError):
-                    continue
-                first = lambda p: root.find(f".//{TEI}{p}")
-                date = first("origDate")
-                of = lambda a: (date.get(a) or "").strip() if date is not None else ""
-                row = (path, document_id(root), _text(root.find(f".//{TEI}titleStmt/{TEI}title")), _text(first("origPlace")), _text(date), of("when"), of("notBefore"), of("notAfter"))
-                if row[1]:
-                    out.append(row)
-            yield pd.DataFrame(out, columns=names)
-
-    return files.mapInPandas(work, META_SCHEMA)
+    def rows_of(path: str, content: bytes) -> list[tuple]:
+        root = ET.fromstring(content)
+        first = lambda p: root.find(f".//{TEI}{p}")
+        date = first("origDate")
+        of = lambda a: (date.get(a) or "").strip() if date is not None else ""
+        row = (path, document_id(root), _text(root.find(f".//{TEI}titleStmt/{TEI}title")), _text(first("origPlace")), _text(date), of("when"), of("notBefore"), of("notAfter"))
+        return [row] if row[1] else []
+
+    return _rows_of(files, rows_of, META_SCHEMA)
 
 
 def latest_metadata(meta: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ import random
 import unicodedata
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sitometra.config import LinkOptions
 from sitometra.functions import text
 from sitometra.operators import link, stats
 from sitometra.plans.queries import ORACLE_SQL, QUERIES
+from sitometra.sources import xml
 
 
 def _rows(spark, tmp_path, name, table, rows, schema):
@@ -116,3 +118,16 @@ def test_events_are_found_once_and_candidates_stay_where_they_are(spark):
         assert plan(name).count("Exchange ") == 2 and plan(name).count("ArrowEvalPython") == 1
     for name in ("greedy_primary", "emit_policy", "emit_primary"):
         assert plan(name).count("Exchange ") == 2 and plan(name).count("ArrowEvalPython") == 2
+
+
+def test_few_files_are_held_at_once():
+    class Files:
+        select = lambda self, *c: self
+
+        def mapInArrow(self, work, schema):  # noqa: N802
+            return work
+
+    n = 3 * xml._FILES + 7
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array([b"<a/>"] * (n - 1) + [b"<a>"])], ["path", "content"])
+    sizes = [x.num_rows for x in xml.parse_status(Files())(iter([batch]))]
+    assert sizes == [xml._FILES] * 3 + [7]
